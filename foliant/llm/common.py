@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +31,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foliant_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="foliant-code-"), "foliant_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(target)
+    sc._foliant_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
     and the master is local (tests) a temporary folder stands in.
     """
+    ship(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -190,7 +209,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
     """The same rows in slices of at most ``most`` bytes of text (or one row)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64)) if len(column) else []
+        sizes = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)) if len(column) else []
         i = 0
         while i < batch.num_rows:
             before = int(sizes[i - 1]) if i else 0
