@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .lm import score_documents
 from .packing import pack
 from .sharding import shard_documents
 from .urlfilter import judge_urls
@@ -18,6 +19,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), order=2)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8, law="rows")
 
@@ -41,6 +46,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
