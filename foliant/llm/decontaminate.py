@@ -91,6 +91,7 @@ def contamination(
     benchmark: DataFrame,
     window: int = 13,
     k: int = 6,
+    key: str = "doc_id",
     text: str = "text",
     item: str = "item_id",
     item_text: str = "text",
@@ -120,7 +121,8 @@ def contamination(
         bloom[r["w"] * 4096 : r["w"] * 4096 + 4096] = np.frombuffer(r["m"], np.uint8)[:4096]
     mask = np.unpackbits(bloom, bitorder="little").astype(bool)
 
-    text_key = F.xxhash64(F.col(text))
+    # By key and text, so that copies of a text are spread over the tasks.
+    row_key = F.xxhash64(F.col(key), F.col(text))
 
     def offer(batches):
         for s in slices(batches, "text", SLICE):
@@ -129,11 +131,11 @@ def contamination(
             both = np.unique(np.stack([t[hit].astype(np.int64), v[hit].view(np.int64)]), axis=1)
             yield pa.RecordBatch.from_arrays([s.column("doc").take(pa.array(both[0])), pa.array(both[1])], ["doc", "fp"])
 
-    offered = docs.select(text_key.alias("doc"), F.col(text).alias("text")).mapInArrow(offer, "doc long, fp long").distinct()
+    offered = docs.select(row_key.alias("doc"), F.col(text).alias("text")).mapInArrow(offer, "doc long, fp long").distinct()
     met = offered.join(marks, "fp").select("doc", "item").distinct()
     with_text = met.join(items, "item").groupBy("doc").agg(F.collect_list(F.struct("name", F.col("text").alias("words"))).alias("__items"))
     with_text = with_text.withColumnRenamed("doc", "__doc")
-    joined = docs.select(*kept).join(with_text, text_key == F.col("__doc"), "left").drop("__doc")
+    joined = docs.select(*kept).join(with_text, row_key == F.col("__doc"), "left").drop("__doc")
 
     def extend(batches):
         for s in slices(batches, text, SLICE):

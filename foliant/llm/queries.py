@@ -12,6 +12,7 @@ from .lm import score_documents
 from .packing import pack
 from .sharding import shard_documents
 from .urlfilter import judge_urls
+from .vectors import near_vectors
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +45,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op10_vector_dedup": op10_vector_dedup,
 }
