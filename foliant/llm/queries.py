@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .licenses import scan_licenses
 from .lm import score_documents
 from .packing import pack
 from .sharding import shard_documents
+from .toxicity import score_toxicity
 from .urlfilter import judge_urls
 from .vectors import near_vectors
 
@@ -20,6 +22,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), order=2)
 
@@ -45,15 +61,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_license_scan": op2_license_scan,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_vector_dedup": op10_vector_dedup,
 }
