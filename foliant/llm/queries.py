@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .jaccard import link_documents
 from .licenses import scan_licenses
 from .lm import score_documents
 from .packing import pack
@@ -44,6 +45,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8, law="rows")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), num=90, den=100, shingle=3)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), window=1024, end_id=0)
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
