@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contamination
 from .jaccard import link_documents
 from .licenses import scan_licenses
+from .lines import dedup_lines
 from .lm import score_documents
 from .packing import pack
 from .sharding import shard_documents
@@ -45,6 +46,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8, law="rows")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.crc32(F.col("kept_text").cast("binary")).alias("kept_crc32"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), num=90, den=100, shingle=3)
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
+    "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
