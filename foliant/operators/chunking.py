@@ -97,6 +97,10 @@ class _Forest:
                 if b is not None:
                     self.last[b] = a
         self.order = self._walk_order()
+        self.preorder, stack = [], list(reversed(self.kids[None]))
+        while stack:
+            self.preorder.append(stack.pop())
+            stack += reversed(self.kids.get(self.preorder[-1], []))
         self.leaves = sum(self.is_leaf(s) for s in self.rows)
         self.heap: list[tuple] = []
 
@@ -145,7 +149,7 @@ class _Forest:
         self.offer(s)
 
     def cap(self, most: int) -> None:
-        for s in sorted(self.rows, reverse=True):  # children before parents
+        for s in reversed(self.preorder):  # children before parents
             if s in self.rows and self.lone_leaf(s):
                 self.collapse(s)
         self.heap = []
@@ -165,7 +169,7 @@ class _Forest:
                 self.offer(self.last[pair[0]])
                 self.offer(pair[0])
                 continue
-            lone = next((s for s in sorted(self.rows) if self.lone_leaf(s)), None)
+            lone = next((s for s in self.preorder if s in self.rows and self.lone_leaf(s)), None)
             if lone is None:
                 return
             self.collapse(lone)
