@@ -19,6 +19,35 @@ def test_stages(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == before
 
 
+def awkward(spark):
+    line = "this very line of nine words stands in many places"
+    rows = [(i, t, None, None, None, "x", 1.0, [1], "k") for i, t in enumerate([None, "", " ", "\n\n", line, line, line + "\n" + "w " * 50_000, "é ß\x00", "one two"])]
+    rows += [(4, line, "en", "s", 3, "x", 1.0, [1], "k")] * 2 + [(None, "no id at all here", "en", "s", 5, "x", 1.0, [1], "k"), (None, line, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, predicted string, score double, dropped array<int>, component_id string")
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty texts, repeated rows and clashing names neither break a stage nor lose clean documents."""
+    docs = awkward(spark).cache()
+    n = docs.count()
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "packing":
+            assert out.where("length < 1").count() == 0 and out.where("doc_id = 8").count() == 1
+            assert stage(spark, docs.limit(0), SF).count() == 0
+            continue
+        assert out.columns == list(p.COLUMNS)
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert (8, "one two") in got and (None, "no id at all here") in got and (0, None) in got and len(got) <= n
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name in ("toxicity", "decontamination"):
+            assert len(got) == n
+        if name == "line_dedup":
+            assert sum("stands in many places" in (t or "") for _, t in got) == 3  # (4, line) thrice is one document
+        if name == "ngram_jaccard":
+            assert {i for i, t in got if t and t.startswith("this very line") and len(t) < 60} == {4, None}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
