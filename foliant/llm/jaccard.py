@@ -34,6 +34,7 @@ SPARE = 2
 FLUSH = 1 << 20
 SEEN_AT_MOST = 1 << 20
 BLOCK = 128
+SALTS = 32
 BLOOM_BITS = 22
 
 
@@ -309,7 +310,9 @@ def _across_components(judged: DataFrame, roots: DataFrame, sets: DataFrame, ban
     sizes = member.groupBy("family", "comp").count()
     groups = sizes.groupBy("family").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     groups = groups.select("family", F.col("main.comp").alias("main"), F.ceil(F.col("main.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("main.count")) / BLOCK).cast("int").alias("others"))
-    member = member.join(groups, "family")
+    # A family may hold most members: both sides are salted, the small one copied.
+    salts = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    member = member.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salts, ["family", "salt"]).drop("salt")
     is_main = F.col("comp") == F.col("main")
     member = member.withColumn("is_main", is_main).withColumn("block", F.pmod(F.xxhash64("cls"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
     span = lambda n: F.sequence(F.lit(0), n - 1)
