@@ -77,6 +77,8 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        # Shuffle files stay until the driver's JVM finds their plan unreachable; it need not wait.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
