@@ -145,9 +145,17 @@ def bits_for(size: int) -> int:
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def overlap_at_most(a: np.ndarray, b: np.ndarray, bits: int) -> int:
-    differ = int(_POP[bitmap(a, bits) ^ bitmap(b, bits)].sum())
-    return (len(a) + len(b) - differ) // 2
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded to the other's width.
+
+    Widths are powers of two and places are taken modulo the width, so folding
+    gives the bitmap of the narrower width.
+    """
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(_POP[a ^ b].sum(dtype=np.int64))
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -239,19 +247,31 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
     pairs = scratch.write(dealt.where(F.col("role") == _ROLE["pair"]).select("a", "b").distinct(), "pairs")
 
     sets = _sets_of(rows.select("t"), pairs, shingle, scratch)
-    left, right = (sets.select(F.col("cls").alias(c), F.col("g").alias(f"g_{c}")) for c in "ab")
+    def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        left, right = (sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
+
+    def bound(batches):
+        for batch in batches:
+            maybe = []
+            for x, y, m, n in zip(*(batch.column(c) for c in ("m_a", "m_b", "n_a", "n_b")), strict=True):
+                total = m.as_py() + n.as_py()
+                possible = (total - differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))) // 2
+                maybe.append(bool(den * possible >= num * (total - possible)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(maybe, pa.bool_())], ["a", "b", "maybe"])
 
     def judge(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("g_a"), batch.column("g_b"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                total = len(x) + len(y)
-                possible = overlap_at_most(x, y, bits_for(max(len(x), len(y))))
-                ok.append(bool(den * possible >= num * (total - possible)) and bool(bands.linked(_overlap(x, y), len(x), len(y))))
+                ok.append(bool(bands.linked(_overlap(x, y), len(x), len(y))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    judged = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "g_a", "g_b").mapInArrow(judge, "a long, b long, ok boolean"), "judged")
+    # Bitmaps are an eighth of the sets, which only pairs that may link carry.
+    bounded = scratch.write(both_sides(pairs, "m", "n").mapInArrow(bound, "a long, b long, maybe boolean"), "bounded")
+    judged = both_sides(bounded.where("maybe").select("a", "b"), "g").mapInArrow(judge, "a long, b long, ok boolean")
+    judged = scratch.write(judged.unionByName(bounded.where("not maybe").select("a", "b", F.lit(False).alias("ok"))), "judged")
     links = judged.where("ok").select("a", "b")
     roots = connected_components(links, Scratch(spark, "jaccard-links"))
     if judged.where("not ok").take(1):
@@ -267,7 +287,7 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
 
 
 def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """(cls, g): sorted fingerprints of every class in ``pairs``, each once.
+    """(cls, g, m, n): sorted fingerprints, bitmap and size of every class in ``pairs``.
 
     A bitmap of fixed size lets through all texts of such classes and few others.
     """
@@ -284,18 +304,20 @@ def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int, scratch: Scratch)
         for s in slices(batches, "t", 2 << 20):
             g, bounds = shingle_sets(s.column("t"), shingle)
             cls = class_ids(g, bounds)
-            out, sets = [], []
+            out, sets, maps = [], [], []
             for i in np.flatnonzero(mask[cls & ((1 << BLOOM_BITS) - 1)] & (np.diff(bounds) > 0)):
                 if (c := int(cls[i])) not in seen:
                     seen.add(c)
                     out.append(c)
-                    sets.append(g[bounds[i] : bounds[i + 1]].tobytes())
+                    own = g[bounds[i] : bounds[i + 1]]
+                    sets.append(own.tobytes())
+                    maps.append(bitmap(own, bits_for(len(own))).tobytes())
             if len(seen) > SEEN_AT_MOST:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["cls", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())], ["cls", "g", "m"])
 
-    found = texts.mapInArrow(pick, "cls long, g binary").join(wanted, "cls", "left_semi")
-    return scratch.write(found.groupBy("cls").agg(F.first("g").alias("g")), "sets")
+    found = texts.mapInArrow(pick, "cls long, g binary, m binary").join(wanted, "cls", "left_semi")
+    return scratch.write(found.groupBy("cls").agg(F.first("g").alias("g"), F.first("m").alias("m")).withColumn("n", (F.length("g") / 8).cast("long")), "sets")
 
 
 def _across_components(judged: DataFrame, roots: DataFrame, sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
@@ -320,7 +342,7 @@ def _across_components(judged: DataFrame, roots: DataFrame, sets: DataFrame, ban
     with_other = F.transform(span(F.col("others")), lambda i: F.xxhash64("family", F.lit("other"), F.least("block", i), F.greatest("block", i)))
     from_main = F.transform(span(F.col("others")), lambda i: F.xxhash64("family", F.lit("main"), i, "block"))
     tiles = F.when(F.col("is_main"), from_main).otherwise(F.concat(with_main, with_other))
-    placed = scratch.write(member.select("cls", "comp", F.explode(tiles).alias("tile")), "tiles").join(sets, "cls")
+    placed = scratch.write(member.select("cls", "comp", F.explode(tiles).alias("tile")), "tiles").join(sets.select("cls", "g"), "cls")
 
     def compare(t: pa.Table) -> list[pa.RecordBatch]:
         cls, comp = t.column("cls").to_numpy(), t.column("comp").to_numpy()
