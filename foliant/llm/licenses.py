@@ -1,9 +1,8 @@
 """License scans with ordered signature rules.
 
 Texts are lower-cased (A-Z) and cut into words; rules are regular expressions
-over the words joined by single spaces.  A text is looked at closely only if
-it holds an anchor, and a rule is tried only if its keyword occurs.  A finding
-that lies inside one of a rule of higher priority (or of a longer one of the
+over the words joined by single spaces.  A rule is tried only if its keyword
+occurs.  A finding that lies inside one of a rule of higher priority (or of a longer one of the
 same priority) is suppressed, so "the Apache License" in "the Apache License,
 Version 2.0" does not count twice.
 """
@@ -23,8 +22,8 @@ from .common import ALNUM, LOWERED, ship, slices, text_buffers, words_of
 #: Phrases of the base scan and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: One of these stands in every text that a rule can fit (raw, lower case).
-ANCHORS = (b"licen", b"copyright", b"spdx", b"public domain", b"copyleft", b"warrant", b"rights reserved", b"creative commons", b"creativecommons", b"cc by", b"cc-by", b"cc0", b"redistribut")
+#: Bytes of words stay, all others are spaces.
+_SPACED = bytes(i if ALNUM[i] else 0x20 for i in range(256))
 
 _L = r"licen[sc]e"
 _V = r"(?:v|version |v )?"
@@ -245,20 +244,12 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         for s in slices(batches, "__text", 4 << 20):
             raw, offsets = text_buffers(s.column("__text"))
             raw = LOWERED[raw]
-            starts, ends, owner = words_of(raw, offsets, ALNUM)
+            _, _, owner = words_of(raw, offsets, ALNUM)
             n_words = np.bincount(owner, minlength=s.num_rows)
             body = raw.tobytes()
-            look: set[int] = set()
-            for a in ANCHORS:
-                at = body.find(a)
-                while at >= 0:
-                    i = int(np.searchsorted(offsets, at, side="right")) - 1
-                    look.add(i)
-                    at = body.find(a, int(offsets[i + 1]) if at + len(a) <= offsets[i + 1] else at + 1)
-            first = np.concatenate([[0], np.cumsum(n_words)])
             rows = [(int(n), 0, None, None, [], [], 0.0, []) for n in n_words]
-            for i in look:
-                words = b" ".join(body[starts[j] : ends[j]] for j in range(first[i], first[i + 1])).decode("utf-8", "replace")
+            for i in np.flatnonzero(n_words).tolist():
+                words = b" ".join(body[offsets[i] : offsets[i + 1]].translate(_SPACED).split()).decode("utf-8", "replace")
                 place = lambda at: words.count(" ", 0, at)  # noqa: B023, E731
                 base = [(m.start(), label) for p, label in _BASE_PATTERNS for m in p.finditer(words)]
                 found = [(r.label, place(a), place(b) + 1, r.score) for a, b, r in detect(words, RULES)]
