@@ -278,6 +278,17 @@ def selection_prompt(spark, sf):
 
 # ---- what SQL cannot say ---------------------------------------------------------
 
+def fallback_summary_all(spark, sf):
+    """All documents; the byte cut has no SQL, whose query keeps those of one-byte characters."""
+    return _t(spark, sf, "documents").select("doc_id", text.fallback_summary(F.col("source"), F.col("text")).alias("summary"))
+
+
+def page_budget_clip_all(spark, sf):
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "piece"))
+    out = pages.clip_to_budget(rows, ["document_id"], "pos", 500)
+    return out.select("document_id", F.length("text").cast("long").alias("n"), F.size("used").cast("long").alias("used"))
+
+
 def html_sections(spark, sf):
     p = _t(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.lit("text/html").alias("content_type"), F.lit("p.html").alias("filename"), F.encode("html", "UTF-8").alias("content"))
     return parse_parts(p.withColumn("document_id", F.col("document_id").cast("string"))).select("document_id", "doc_title", "seq", "level", "title", F.length("content").alias("n"), "error")
@@ -333,6 +344,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_overlap, heading_paths, cited_top_k, page_budget_clip, propagate_pages, page_texts,
         union_merge, max_confidence, ordered_union, rerank_top_k, abstain, dedupe_questions,
         trace_token, cache_key, outline_lines, selection_prompt,
-        html_sections, chunk_leaves, cap_leaves, split_budget, text_tree, lexical_select,
+        fallback_summary_all, page_budget_clip_all, html_sections, chunk_leaves, cap_leaves, split_budget, text_tree, lexical_select,
     )
 }
