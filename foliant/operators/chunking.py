@@ -1,15 +1,18 @@
 """Bounding leaves: cutting long ones and merging many small ones.
 
-Both are greedy within a document, so they run as grouped Python functions; a
-document's sections are one group, documents are spread over the cluster.
+Both are greedy within a document, so they run in Python; documents are spread
+over the cluster, and a task walks through its documents one after the other.
+Work is linear in the text, and n log n in a document's sections.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LONG_LEAF = 2400
 CHUNK = 900
@@ -17,6 +20,7 @@ MOST_LEAVES = 400
 
 NODES = "document_id string, seq long, parent_seq long, level int, title string, content string, page_start int, page_end int, is_table boolean"
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def _size(s: str) -> int:
@@ -27,17 +31,49 @@ def _byte_cut(s: str, limit: int) -> str:
     return s.encode("utf-8")[:limit].decode("utf-8", "ignore")
 
 
+def _by_document(nodes: DataFrame, each: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """``each`` over the rows of every document, in ``seq`` order, without a call's overhead for each group.
+
+    One document is in memory at a time; empty lists of rows are never passed.
+    """
+    kind = pa.schema([(name, _KINDS[k]) for name, k in map(str.split, NODES.split(", "))])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if held and held[-1]["document_id"] != row["document_id"]:
+                    out += each(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, kind)
+        if held:
+            yield pa.RecordBatch.from_pylist(each(held), kind)
+
+    rows = nodes.select(*(F.col(name).cast(k).alias(name) for name, k in map(str.split, NODES.split(", "))))
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "seq").mapInArrow(walk, NODES)
+
+
 def split_words(text: str, target: int = CHUNK) -> list[str]:
     """Pieces of about ``target`` bytes (200 at least), a quarter more at most, cut at spaces."""
     target = max(target, 200)
-    most, out, rest = target + target // 4, [], text.strip()
-    while _size(rest) > most:
-        head = _byte_cut(rest, most)
+    most, out, raw, at = target + target // 4, [], text.strip().encode("utf-8"), 0
+    while len(raw) - at > most:
+        head = raw[at : at + most].decode("utf-8", "ignore")
         space = head.rfind(" ")
         if space < 0 or _size(head[:space]) < target // 2:
             space = len(head)
-        out.append(rest[:space].strip())
-        rest = rest[space:].strip()
+        out.append(head[:space].strip())
+        at += _size(head[:space])
+        while at < len(raw):  # white space before the next piece
+            some = raw[at : at + 64].decode("utf-8", "ignore")
+            lead = len(some) - len(some.lstrip())
+            at += _size(some[:lead])
+            if lead < len(some):
+                break
+    rest = raw[at:].decode("utf-8")
     return out + [rest] if rest or not out else out
 
 
@@ -59,35 +95,39 @@ def chunk_title(chunk: str, fallback: str) -> str:
 def chunk_leaves(nodes: DataFrame, threshold: int = LONG_LEAF, target: int = CHUNK) -> DataFrame:
     """Long leaves become parents of their pieces; pieces keep pages and go one level down."""
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        parents = set(g["parent_seq"].dropna().astype("int64"))
+    def each(rows: list[dict]) -> list[dict]:
+        parents = {r["parent_seq"] for r in rows}
         out, renumber = [], {}
-        for r in g.sort_values("seq").itertuples(index=False):
-            renumber[int(r.seq)] = len(out)
-            up = None if pd.isna(r.parent_seq) else renumber[int(r.parent_seq)]
-            pieces = split_words(r.content or "", target) if int(r.seq) not in parents and _size(r.content or "") > threshold else []
+        for r in rows:
+            at = renumber[r["seq"]] = len(out)
+            body = r["content"] or ""
+            pieces = split_words(body, target) if r["seq"] not in parents and _size(body) > threshold else []
             whole = len(pieces) < 2
-            out.append((r.document_id, len(out), up, r.level, r.title, r.content if whole else "", r.page_start, r.page_end, r.is_table))
-            at = len(out) - 1
-            if not whole:
-                for n, piece in enumerate(pieces, 1):
-                    out.append((r.document_id, len(out), at, r.level + 1, chunk_title(piece, f"{r.title} — part {n}"), piece, r.page_start, r.page_end, r.is_table))
-        return pd.DataFrame(out, columns=_COLUMNS)
+            out.append(r | {"seq": at, "parent_seq": renumber.get(r["parent_seq"]), "content": r["content"] if whole else ""})
+            for n, piece in enumerate([] if whole else pieces, 1):
+                title = chunk_title(piece, f"{r['title']} — part {n}")
+                out.append(r | {"seq": at + n, "parent_seq": at, "level": r["level"] + 1, "title": title, "content": piece})
+        return out
 
-    return nodes.groupBy("document_id").applyInPandas(each, NODES)
+    return _by_document(nodes, each)
 
 
 class _Forest:
-    """Sections as linked siblings, with a heap of adjacent leaf pairs by size."""
+    """Sections as linked siblings, with heaps of adjacent leaf pairs by size and of parents of one leaf.
 
-    def __init__(self, g: pd.DataFrame):
-        self.rows = {int(r.seq): dict(r._asdict()) for r in g.sort_values("seq").itertuples(index=False)}
+    Contents are lists that are joined at the end; sizes are kept beside them.
+    Merging keeps the left of two siblings, so the first child of a parent stays.
+    """
+
+    def __init__(self, rows: list[dict]):
+        self.rows = {r["seq"]: dict(r) for r in rows}
         self.kids: dict[int | None, list[int]] = {None: []}
         for seq, r in self.rows.items():
-            up = None if pd.isna(r["parent_seq"]) else int(r["parent_seq"])
-            r["parent_seq"] = up
-            r["content"] = r["content"] or ""
-            self.kids.setdefault(up, []).append(seq)
+            body = r["content"] or ""
+            r["content"], r["inked"], r["merged"] = body, bool(body.strip()), False
+            r["parts"], r["size"] = ([body] if r["inked"] else []), _size(body)
+            self.kids.setdefault(r["parent_seq"], []).append(seq)
+        self.count = {up: len(k) for up, k in self.kids.items()}
         self.next: dict[int, int | None] = {}
         self.last: dict[int, int | None] = {}
         for siblings in self.kids.values():
@@ -97,86 +137,97 @@ class _Forest:
                 if b is not None:
                     self.last[b] = a
         self.order = self._walk_order()
-        self.preorder, stack = [], list(reversed(self.kids[None]))
+        self.preorder, stack = {}, list(reversed(self.kids[None]))
         while stack:
-            self.preorder.append(stack.pop())
-            stack += reversed(self.kids.get(self.preorder[-1], []))
+            s = stack.pop()
+            self.preorder[s] = len(self.preorder)
+            stack += reversed(self.kids.get(s, []))
         self.leaves = sum(self.is_leaf(s) for s in self.rows)
-        self.heap: list[tuple] = []
+        self.pairs: list[tuple] = []
+        self.lone: list[tuple] = []
 
-    def _walk_order(self) -> dict[int, tuple]:
+    def _walk_order(self) -> dict[int, int]:
         """A list's own pairs come before those below it, lists in preorder."""
         order, stack = {}, [None]
         while stack:
             up = stack.pop()
             for s in self.kids.get(up, []):
-                order[s] = (len(order),)
+                order[s] = len(order)
             stack += [s for s in reversed(self.kids.get(up, [])) if self.kids.get(s)]
         return order
 
     def is_leaf(self, s: int) -> bool:
-        return not self.kids.get(s)
+        return not self.count.get(s)
 
     def mergeable(self, s: int | None) -> bool:
         return s is not None and self.is_leaf(s) and not self.rows[s]["is_table"]
 
     def offer(self, a: int | None) -> None:
-        if a is not None and a in self.rows and self.mergeable(a) and self.mergeable(b := self.next[a]):
-            size = _size(self.rows[a]["content"]) + _size(self.rows[b]["content"])
-            heapq.heappush(self.heap, (size, self.order[a], a, b))
+        if a in self.rows and self.mergeable(a) and self.mergeable(b := self.next[a]):
+            heapq.heappush(self.pairs, (self.rows[a]["size"] + self.rows[b]["size"], self.order[a], a, b))
+
+    def offer_lone(self, s: int | None) -> None:
+        if s in self.preorder and self.lone_leaf(s):
+            heapq.heappush(self.lone, (self.preorder[s], s))
 
     def absorb(self, into: int, gone: int) -> None:
-        a, b = self.rows[into], self.rows[gone]
-        a["content"] = "\n\n".join(c for c in (a["content"], b["content"]) if c.strip())
+        a, b = self.rows[into], self.rows.pop(gone)
+        if len(a["parts"]) < len(b["parts"]):
+            b["parts"][:0] = a["parts"]
+            a["parts"] = b["parts"]
+        else:
+            a["parts"] += b["parts"]
+        a["size"] = sum(r["size"] for r in (a, b) if r["inked"]) + 2 * (a["inked"] and b["inked"])
+        a["inked"], a["merged"] = a["inked"] or b["inked"], True
         starts = [p for p in (a["page_start"], b["page_start"]) if p]
         a["page_start"], a["page_end"] = min(starts, default=0), max(a["page_end"], b["page_end"])
-        siblings = self.kids[b["parent_seq"]]
-        siblings.remove(gone)
+        self.count[b["parent_seq"]] -= 1
         before, after = self.last.pop(gone, None), self.next.pop(gone, None)
         if before is not None:
             self.next[before] = after
         if after is not None:
             self.last[after] = before
-        del self.rows[gone]
 
     def lone_leaf(self, s: int) -> bool:
-        kids = self.kids.get(s, [])
-        return len(kids) == 1 and self.mergeable(kids[0])
+        return s in self.rows and self.count.get(s) == 1 and self.mergeable(self.kids[s][0])
 
     def collapse(self, s: int) -> None:
         self.absorb(s, self.kids[s][0])
         self.offer(self.last[s])
         self.offer(s)
+        self.offer_lone(self.rows[s]["parent_seq"])
 
     def cap(self, most: int) -> None:
         for s in reversed(self.preorder):  # children before parents
-            if s in self.rows and self.lone_leaf(s):
+            if self.lone_leaf(s):
                 self.collapse(s)
-        self.heap = []
+        self.pairs, self.lone = [], []
         for s in self.rows:
             self.offer(s)
+            self.offer_lone(s)
         while self.leaves > most:
-            pair = None
-            while self.heap:
-                size, _, a, b = heapq.heappop(self.heap)
+            if self.pairs:
+                size, _, a, b = heapq.heappop(self.pairs)
                 fresh = a in self.rows and b in self.rows and self.next.get(a) == b and self.mergeable(a) and self.mergeable(b)
-                if fresh and size == _size(self.rows[a]["content"]) + _size(self.rows[b]["content"]):
-                    pair = a, b
-                    break
-            if pair:
-                self.absorb(*pair)
-                self.leaves -= 1
-                self.offer(self.last[pair[0]])
-                self.offer(pair[0])
-                continue
-            lone = next((s for s in self.preorder if s in self.rows and self.lone_leaf(s)), None)
-            if lone is None:
+                if fresh and size == self.rows[a]["size"] + self.rows[b]["size"]:
+                    self.absorb(a, b)
+                    self.leaves -= 1
+                    self.offer(self.last[a])
+                    self.offer(a)
+                    self.offer_lone(self.rows[a]["parent_seq"])
+            elif self.lone:
+                _, s = heapq.heappop(self.lone)
+                if self.lone_leaf(s):
+                    self.collapse(s)
+            else:
                 return
-            self.collapse(lone)
 
-    def table(self) -> pd.DataFrame:
-        rows = [self.rows[s] for s in sorted(self.rows)]
-        return pd.DataFrame([[r[c] for c in _COLUMNS] for r in rows], columns=_COLUMNS)
+    def table(self) -> list[dict]:
+        out = []
+        for s in sorted(self.rows):
+            r = self.rows[s]
+            out.append({c: r[c] for c in _COLUMNS} | ({"content": "\n\n".join(r["parts"])} if r["merged"] else {}))
+        return out
 
 
 def cap_leaves(nodes: DataFrame, most: int = MOST_LEAVES) -> DataFrame:
@@ -188,10 +239,12 @@ def cap_leaves(nodes: DataFrame, most: int = MOST_LEAVES) -> DataFrame:
     if most <= 0:
         return nodes
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        forest = _Forest(g)
-        if forest.leaves > most:
-            forest.cap(most)
+    def each(rows: list[dict]) -> list[dict]:
+        parents = {r["parent_seq"] for r in rows}
+        if sum(r["seq"] not in parents for r in rows) <= most:
+            return rows
+        forest = _Forest(rows)
+        forest.cap(most)
         return forest.table()
 
-    return nodes.groupBy("document_id").applyInPandas(each, NODES)
+    return _by_document(nodes, each)
