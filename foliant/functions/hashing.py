@@ -11,7 +11,8 @@ PAGE_VERSION = "1-pages"
 
 
 def _joined(*parts: Column) -> Column:
-    return F.concat_ws("\0", *parts)
+    # A null is an empty part; left out, as by concat_ws, it would move the others up.
+    return F.concat_ws("\0", *(F.coalesce(p, F.lit("")) for p in parts))
 
 
 def trace_token(document: Column, version: Column, model: Column, ids: Column) -> Column:

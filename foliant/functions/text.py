@@ -3,6 +3,8 @@ Unicode white space; both differ from Spark's plain ``length`` and ``trim``."""
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,19 +73,12 @@ def clean_for_model(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
 
 
+codecs.register_error("foliant-byte", lambda e: ("\ufffd", e.start + 1))
+
+
 def decode_lossy(raw: bytes | None) -> str | None:
     """Decode bytes; each byte that is no UTF-8 becomes one replacement character."""
-    if raw is None:
-        return None
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            out.append(raw[at : at + e.start].decode("utf-8") + "�")
-            at += e.start + 1
-    return "".join(out)
+    return None if raw is None else bytes(raw).decode("utf-8", "foliant-byte")
 
 
 def doubled_share(c: Column) -> tuple[Column, Column]:

@@ -21,13 +21,19 @@ def distinct_jobs(jobs: DataFrame, within: str = "24 hours") -> DataFrame:
 def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Run each micro-batch of due jobs.
 
-    ``work`` returns jobs with ``error`` and ``error_kind``; ``sink`` gets them
-    with the state that follows.  Delivery is at least once: sinks key on the
-    batch id.
+    ``work`` gets the jobs whose ``run_at`` has come (a null one is due) and
+    returns them with ``error`` and ``error_kind``; ``sink`` gets them with the
+    state that follows.  Jobs that came too early go to the sink untouched, in
+    state "waiting", to be enqueued again.  Delivery is at least once: sinks key
+    on the batch id.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        sink(work(rows).withColumn("state", next_state(F.col("error"), F.col("error_kind"), F.col("attempt"), F.col("max_attempts"))), batch_id)
+        now = F.current_timestamp()
+        early = F.coalesce(F.col("run_at") > now, F.lit(False))
+        done = work(rows.where(~early)).withColumn("state", next_state(F.col("error"), F.col("error_kind"), F.col("attempt"), F.col("max_attempts")))
+        waiting = rows.where(early).withColumns({"error": F.lit(None).cast("string"), "error_kind": F.lit(None).cast("string"), "state": F.lit("waiting")})
+        sink(done.unionByName(waiting.select(*(c for c in done.columns if c in waiting.columns)), allowMissingColumns=True), batch_id)
 
     writer = distinct_jobs(jobs).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

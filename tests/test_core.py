@@ -328,3 +328,60 @@ def test_budget_slices(spark):
         assert sorted(ids) == sorted(r[1] for r, _ in walk(rows, d)), d
     assert Budget(10, 20).available == 10
     assert isinstance(parts, pd.DataFrame)
+
+
+def _words_by_slices(text, target):
+    """The splitter as it reads: cut the rest again and again."""
+    target = max(target, 200)
+    most, out, rest = target + target // 4, [], text.strip()
+    size = lambda s: len(s.encode())
+    while size(rest) > most:
+        head = rest.encode()[:most].decode("utf-8", "ignore")
+        space = head.rfind(" ")
+        if space < 0 or size(head[:space]) < target // 2:
+            space = len(head)
+        out.append(rest[:space].strip())
+        rest = rest[space:].strip()
+    return out + [rest] if rest or not out else out
+
+
+def test_splitter_is_linear_and_cuts_alike():
+    import random
+    import time
+
+    from foliant.operators.chunking import split_words
+
+    rng = random.Random(4)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "é", "中", " ", "\n", " ", "word ", "x" * 300]) for _ in range(rng.randint(0, 400)))
+        assert split_words(t, 200) == _words_by_slices(t, 200)
+    begun = time.perf_counter()
+    assert len(split_words("some words " * 2_000_000, 900)) > 15_000
+    assert time.perf_counter() - begun < 20
+
+
+def test_leaf_cap_of_a_large_document(spark):
+    from foliant.operators.chunking import NODES, cap_leaves
+
+    rows = [("d", i, None if i % 50 == 0 else i - i % 50, 1, f"t{i}", f"text {i}" * (i % 7), i, i, False) for i in range(20_000)]
+    out = cap_leaves(spark.createDataFrame(rows, NODES), 400).toPandas()
+    parents = set(out["parent_seq"].dropna().astype(int))
+    assert sum(s not in parents for s in out["seq"]) <= 400
+    want = sum(r[5].count("text") for r in rows)
+    assert sum(c.count("text") for c in out["content"]) == want
+
+
+def test_lossy_decoding_is_by_bytes():
+    from foliant.functions.text import decode_lossy
+
+    assert decode_lossy(b"a\xff\xe2\x82b\xc3") == "a���b�"
+    assert decode_lossy(None) is None and len(decode_lossy(b"\xff" * 1_000_000)) == 1_000_000
+
+
+def test_keys_tell_nulls_apart(spark):
+    from foliant.functions.hashing import cache_key
+
+    df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    from pyspark.sql import functions as F
+
+    assert df.select(cache_key(F.col("x"), F.col("y"), F.lit("s"), F.lit("m")).alias("k")).distinct().count() == 2
