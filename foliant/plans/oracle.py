@@ -36,9 +36,8 @@ _SCORES = """sc AS (
 ORACLE: dict[str, str] = {
     "approx_tokens": f"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest({_WORDS.replace('@', 'text')} * 13 // 10, strlen(text) // 4, 1) END::BIGINT AS tokens, strlen(text)::BIGINT AS n_bytes FROM documents",
     "fallback_summary": rf"""
-SELECT doc_id, CASE WHEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN source ELSE
-  array_to_string(list_filter(regexp_split_to_array(CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END, '\s+'), lambda w: w <> ''), ' ') END AS summary
-FROM documents WHERE strlen(text) = length(text)""",
+WITH d AS (SELECT doc_id, source, text, CASE WHEN strlen(text) > 240 THEN left(text, list_max(list_filter(range(60, 241), lambda k: strlen(left(text, k)) <= 240))) || '…' ELSE text END AS head FROM documents)
+SELECT doc_id, CASE WHEN {_STRIP.replace('@', 'text')} = '' THEN source ELSE array_to_string(list_filter(regexp_split_to_array(head, '[\s\p{{Z}}\x{{85}}]+'), lambda w: w <> ''), ' ') END AS summary FROM d""",
     "text_headings": f"SELECT doc_id, pos::BIGINT AS pos, t AS heading FROM (SELECT *, {_STRIP.replace('@', 'line')} AS t FROM ({_LINES})) WHERE {_HEAD}",
     "text_sections": rf"""
 WITH l AS (SELECT doc_id, pos, regexp_replace(line, '\r+$', '') AS line FROM ({_LINES})),
@@ -64,10 +63,10 @@ SELECT n_nationkey, CASE WHEN length(replace(s, ' ', '')) >= 4 THEN array_to_str
     "match_keys": r"SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name || '  - ' || c_mktsegment), '[^a-z0-9 \t\n]', '', 'g'), '[ \t\n]+', ' ', 'g')) AS k FROM customer",
     "table_grids": r"SELECT n_regionkey, '| key | na\|me |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS grid FROM nation GROUP BY 1",
     "list_documents_page": """
-SELECT o_orderkey AS id, o_custkey AS org_id, o_orderstatus AS status FROM orders
-WHERE o_custkey % 10 = 1 AND o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51""",
+SELECT o_orderkey AS id, o_orderpriority AS org_id, o_orderstatus AS status FROM orders
+WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51""",
     "count_sections_scoped": "SELECT l_orderkey AS document_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1",
-    "list_sections_scoped": f"WITH {_SECTIONS} SELECT doc AS document_id, id, ps AS page_start, pe AS page_end FROM sec JOIN orders ON doc = o_orderkey WHERE o_custkey % 7 = 3 AND o_orderstatus = 'O'",
+    "list_sections_scoped": f"WITH {_SECTIONS} SELECT doc AS document_id, id, ps AS page_start, pe AS page_end FROM sec JOIN orders ON doc = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'",
     "ingest_dedupe": """
 WITH e AS (SELECT event_id AS id, user_id AS org_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS k, ts FROM events)
 SELECT id, org_id, k AS idempotency_key FROM (SELECT *, row_number() OVER (PARTITION BY org_id, k ORDER BY ts, id) AS n FROM e) WHERE k IS NULL OR n = 1""",
@@ -103,9 +102,9 @@ g AS (SELECT query_id, least(s1, e1) AS lo, least(greatest(s1, e1), 6) AS hi, ma
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, pos) AS n FROM g)
 SELECT query_id, lo AS start, hi AS "end", c AS confidence FROM n WHERE n <= 3""",
     "page_budget_clip": f"""
-WITH l AS (SELECT x.* FROM ({_LINES}) x JOIN documents d ON x.doc_id = d.doc_id WHERE strlen(d.text) = length(d.text)),
-a AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM l)
-SELECT doc_id AS document_id, sum(least(length(line), 500 - spot))::BIGINT AS n, count(*) AS used FROM a WHERE spot <= 500 GROUP BY 1""",
+WITH a AS (SELECT *, coalesce(sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM ({_LINES})),
+c AS (SELECT doc_id, CASE WHEN strlen(line) <= 500 - spot THEN length(line) ELSE list_max(list_filter(range(0, 501), lambda k: k <= length(line) AND strlen(left(line, k)) <= 500 - spot)) END AS n FROM a WHERE spot <= 500)
+SELECT doc_id AS document_id, sum(n)::BIGINT AS n, count(*) AS used FROM c GROUP BY 1""",
     "propagate_pages": f"""
 WITH RECURSIVE {_TREE}{_VIEW}, o AS (SELECT doc, nullif(tok % 13, 0) AS ps, nullif(tok % 13 + tok % 3, 0) AS pe, unnest(ids) AS a FROM v)
 SELECT doc AS document_id, a AS id, coalesce(min(ps), 0) AS page_start, coalesce(max(pe), 0) AS page_end FROM o GROUP BY ALL""",
@@ -127,7 +126,7 @@ SELECT conv_id, least(count(DISTINCT lower(trim(text, ' ' || chr(10) || chr(9) |
     "cache_key": "SELECT o_orderkey, sha256(o_orderkey || chr(0) || o_orderpriority || chr(0) || 'auto' || chr(0) || o_orderstatus) AS key FROM orders",
     "outline_lines": f"WITH RECURSIVE {_TREE}{_VIEW} SELECT doc AS document_id, id, repeat('  ', depth) || '- [' || id || '] ' || title || ' — ' || tok || chr(10) AS line FROM v",
     "selection_prompt": f"""
-WITH RECURSIVE {_TREE}{_VIEW}, o AS (SELECT doc, string_agg(repeat('  ', depth) || '- [' || id || '] ' || title || chr(10), '' ORDER BY path, id) AS t FROM v WHERE depth < 2 GROUP BY 1)
+WITH RECURSIVE {_TREE}{_VIEW}, o AS (SELECT doc, string_agg(repeat('  ', depth) || '- [' || id || '] ' || title || chr(10), '' ORDER BY path, id) AS t FROM v GROUP BY 1)
 SELECT doc AS document_id, 'Document: x' || chr(10) || chr(10) || 'Sections:' || chr(10) || t || chr(10) || 'Question: which?' || chr(10) || chr(10)
   || 'Reply with one JSON object: {{"picks": [{{"id": "...", "confidence": 0.0}}]}}. Use only ids shown in brackets.' AS prompt FROM o""",
 }

@@ -32,6 +32,11 @@ def order_docs(spark, sf):
     )
 
 
+def tenant_docs(spark, sf):
+    """Orders whose tenant is their priority."""
+    return order_docs(spark, sf).drop("org_id").join(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("org_id")), "id")
+
+
 def line_sections(spark, sf):
     return _t(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("id"), F.col("l_linenumber").alias("preorder"), F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("title"),
@@ -65,8 +70,7 @@ def approx_tokens(spark, sf):
 
 
 def fallback_summary(spark, sf):
-    d = _t(spark, sf, "documents").where(F.octet_length("text") == F.length("text"))
-    return d.select("doc_id", text.fallback_summary(F.col("source"), F.col("text")).alias("summary"))
+    return _t(spark, sf, "documents").select("doc_id", text.fallback_summary(F.col("source"), F.col("text")).alias("summary"))
 
 
 def text_headings(spark, sf):
@@ -107,8 +111,8 @@ def table_grids(spark, sf):
 # ---- catalog ---------------------------------------------------------------------
 
 def list_documents_page(spark, sf):
-    docs = order_docs(spark, sf)
-    page = catalog.list_documents(docs, F.col("org_id") % 10 == 1, limit=50, status="O", tiebreak="id", before=("1998-01-01 00:00:00", 0))
+    docs = tenant_docs(spark, sf)
+    page = catalog.list_documents(docs, catalog.in_scope("1-URGENT"), limit=50, status="O", tiebreak="id", before=("1998-01-01 00:00:00", 0))
     return page.select("id", "org_id", "status")
 
 
@@ -118,8 +122,8 @@ def count_sections_scoped(spark, sf):
 
 
 def list_sections_scoped(spark, sf):
-    docs = order_docs(spark, sf)
-    return catalog.sections_of(line_sections(spark, sf), docs, (F.col("org_id") % 7 == 3) & (F.col("status") == "O")).select("document_id", "id", "page_start", "page_end")
+    docs = tenant_docs(spark, sf)
+    return catalog.sections_of(line_sections(spark, sf), docs, catalog.in_scope("1-URGENT", "O", store_col="status")).select("document_id", "id", "page_start", "page_end")
 
 
 def ingest_dedupe(spark, sf):
@@ -200,8 +204,7 @@ def cited_top_k(spark, sf):
 
 
 def page_budget_clip(spark, sf):
-    d = _t(spark, sf, "documents").where(F.octet_length("text") == F.length("text"))
-    rows = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "piece"))
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "piece"))
     out = pages.clip_to_budget(rows, ["document_id"], "pos", 500)
     return out.select("document_id", F.length("text").cast("long").alias("n"), F.size("used").cast("long").alias("used"))
 
@@ -271,24 +274,13 @@ def outline_lines(spark, sf):
 
 
 def selection_prompt(spark, sf):
-    v = strategies._optional(tree.view(geo_tree(spark, sf)).where("depth < 2"))
+    v = strategies._optional(tree.view(geo_tree(spark, sf)))
     o = prompts.outlines(v.withColumn("line", prompts.outline_line()), ["document_id"])
     return o.select("document_id", prompts.selection_prompt(F.lit("Document: x"), F.col("outline"), F.lit(""), F.lit("which?")).alias("prompt"))
 
 
 # ---- what SQL cannot say ---------------------------------------------------------
 
-def fallback_summary_all(spark, sf):
-    """All documents; the byte cut has no SQL, whose query keeps those of one-byte characters."""
-    return _t(spark, sf, "documents").select("doc_id", text.fallback_summary(F.col("source"), F.col("text")).alias("summary"))
-
-
-def page_budget_clip_all(spark, sf):
-    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "piece"))
-    out = pages.clip_to_budget(rows, ["document_id"], "pos", 500)
-    return out.select("document_id", F.length("text").cast("long").alias("n"), F.size("used").cast("long").alias("used"))
-
-
 def html_sections(spark, sf):
     p = _t(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.lit("text/html").alias("content_type"), F.lit("p.html").alias("filename"), F.encode("html", "UTF-8").alias("content"))
     return parse_parts(p.withColumn("document_id", F.col("document_id").cast("string"))).select("document_id", "doc_title", "seq", "level", "title", F.length("content").alias("n"), "error")
@@ -332,7 +324,7 @@ def lexical_select(spark, sf):
     viewed = engine.view(sections.join(bodies.select(F.col("section_id").alias("id"), text.fallback_summary(F.lit(""), F.col("content")).alias("summary")), "id", "left"))
     queries = d.select(F.lit("q1").alias("query_id"), "document_id", F.lit("the introduction of this and that").alias("query"))
     out = engine.query(queries, viewed, d.select(F.col("document_id").alias("id"), F.col("source").alias("title")))
-    return out.select("query_id", "document_id", "section_ids", "confidence", "abstained", "trace_token")
+    return out.select("query_id", "document_id", F.array_join("section_ids", ",").alias("section_ids"), "confidence", "abstained", "trace_token")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -344,6 +336,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         page_overlap, heading_paths, cited_top_k, page_budget_clip, propagate_pages, page_texts,
         union_merge, max_confidence, ordered_union, rerank_top_k, abstain, dedupe_questions,
         trace_token, cache_key, outline_lines, selection_prompt,
-        fallback_summary_all, page_budget_clip_all, html_sections, chunk_leaves, cap_leaves, split_budget, text_tree, lexical_select,
+        html_sections, chunk_leaves, cap_leaves, split_budget, text_tree, lexical_select,
     )
 }

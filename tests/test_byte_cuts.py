@@ -15,15 +15,15 @@ def documents(spark):
     return rows
 
 
-def test_fallback_summary_all(spark):
-    got = {r.doc_id: r.summary for r in QUERIES["fallback_summary_all"](spark, SF).collect()}
+def test_fallback_summary(spark):
+    got = {r.doc_id: r.summary for r in QUERIES["fallback_summary"](spark, SF).collect()}
     for r in documents(spark):
         head = clipped(r.text, 240) + "…" if len(r.text.encode()) > 240 else r.text
         assert got[r.doc_id] == (" ".join(head.split()) if r.text.strip() else r.source)
 
 
-def test_page_budget_clip_all(spark):
-    got = {r.document_id: (r.n, r.used) for r in QUERIES["page_budget_clip_all"](spark, SF).collect()}
+def test_page_budget_clip(spark):
+    got = {r.document_id: (r.n, r.used) for r in QUERIES["page_budget_clip"](spark, SF).collect()}
     for r in documents(spark):
         at, text, used = 0, "", 0
         for piece in r.text.split("\n"):

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from foliant.plans.oracle import ORACLE
+from foliant.plans.part_oracle import ORACLE as PART_ORACLE
+from foliant.plans.part_queries import QUERIES as PART_QUERIES
 from foliant.plans.queries import QUERIES
 from foliant.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
+ORACLE, QUERIES = ORACLE | PART_ORACLE, QUERIES | PART_QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents conversations labels".split()
 
 
