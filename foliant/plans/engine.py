@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from foliant.operators.replay import replay as replay_rows
 from foliant.plans import strategies
 from foliant.plans.budget import Budget
 from foliant.plans.clients import Client, Lexical, NoModel, caller
+from foliant.plans.full_ingest import enrich
+from foliant.plans.store import Store
 from foliant.sources.formats import parse_parts
 
 
@@ -59,12 +62,16 @@ class Engine:
         """(documents, sections, bodies) of files (document_id, org_id, store_id, filename, content_type, content).
 
         Minimal mode: no model is called.  Unreadable files become documents
-        with status ``failed``.
+        with status ``failed``.  Long leaves of documents with pages are cut
+        into chunks before leaves are capped.
         """
         parts = parse_parts(files.select("document_id", "content_type", "filename", "content"))
         good = parts.where("error is null")
         flat = tree.parents_by_level(tree.with_preamble(good.select("document_id", "seq", "level", "title", "content", "page_start", "page_end", F.coalesce(F.element_at("metadata", "table") == "true", F.lit(False)).alias("is_table"))))
-        nodes = chunking.cap_leaves(flat.select("document_id", "seq", "parent_seq", "level", "title", "content", "page_start", "page_end", "is_table"), self.options.most_leaves)
+        flat = flat.select("document_id", "seq", "parent_seq", "level", "title", "content", "page_start", "page_end", "is_table")
+        paged = F.coalesce(F.col("page_start"), F.lit(0)) > 0
+        nodes = chunking.chunk_leaves(flat.where(paged)).unionByName(flat.where(~paged).select(*(F.col(c).cast(k).alias(c) for c, k in (x.split() for x in chunking.NODES.split(", ")))))
+        nodes = chunking.cap_leaves(nodes, self.options.most_leaves)
         sections, bodies = tree.persist_tree(nodes)
         outcome = parts.groupBy("document_id").agg(F.max("doc_title").alias("t"), F.max("error").alias("error_message"))
         title = F.when(nonblank(F.col("t")) & ~is_mojibake_title(F.col("t")), F.col("t")).otherwise(F.col("filename"))
@@ -75,6 +82,19 @@ class Engine:
         )
         return docs, sections, bodies
 
+    def ingest_full(self, files: DataFrame, axes: bool = False, questions: bool = False, contents: bool = False, profile: str = "", store: Store | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+        """(documents, sections, bodies, contents): ``ingest`` and what the model adds.
+
+        Sections get summaries, and on request axes and candidate questions;
+        ``contents`` makes a table of contents for documents with pages.  With
+        a store, the outcome is written there as one batch.
+        """
+        docs, sections, bodies = self.ingest(files)
+        sections, nodes = enrich(self, sections, bodies, axes, questions, contents, profile)
+        if store is not None:
+            store.save(documents=docs, sections=sections, bodies=bodies)
+        return docs, sections, bodies, nodes
+
     def view(self, sections: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
         viewed = tree.view(sections)
         if "summary" not in viewed.columns:
@@ -138,6 +158,30 @@ class Engine:
         single = planned.where("plan is null or not plan.is_multi_hop").select(*queries.columns)
         return run(single).unionByName(strategies.decomposed(multi, run))
 
+    def query_many(self, queries: DataFrame, viewed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(results, outcomes) of queries over several documents each.
+
+        A document that has no tree gets an error row instead of a result and
+        does not stop the others.  ``outcomes`` has, for each query, documents,
+        succeeded, failed (all of them) and the composite section ids.
+        """
+        have = viewed.select("document_id").distinct()
+        results = self.query(queries.join(have, "document_id", "left_semi"), viewed, docs)
+        lost = queries.join(have, "document_id", "left_anti").select(*strategies.KEY, F.lit("document not found").alias("error"))
+        every = results.withColumn("error", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)
+        ids = ranking.composite_ids(F.col("document_id"), F.coalesce("section_ids", F.array().cast("array<string>")))
+        named = every.select("query_id", F.explode(ids).alias("id")).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("section_ids"))
+        return every, ranking.fan_out(every, ["query_id"]).join(named, "query_id", "left")
+
+    def with_options(self, **overrides) -> Engine:
+        """The same engine with other options for one request; None leaves an option as it is."""
+        return Engine(self.spark, self.client, replace(self.options, **{k: v for k, v in overrides.items() if v is not None}))
+
+    def query_cached(self, queries: DataFrame, stored: DataFrame, viewed: DataFrame, docs: DataFrame, ttl_seconds: int, now) -> tuple[DataFrame, DataFrame]:
+        """(selection, entries to store): unexpired entries of ``stored(key, ids, at)`` are not asked for again."""
+        o = self.options
+        return strategies.cached(queries, stored, lambda q: self.select(q, viewed, docs), o.strategy, o.model, ttl_seconds, now)
+
     def query(self, queries: DataFrame, viewed: DataFrame, docs: DataFrame) -> DataFrame:
         """Select, abstain, limit, re-rank; one row for each (query, document) with its token."""
         o = self.options
@@ -175,7 +219,12 @@ class Engine:
         rows = picked.join(queries.select(*strategies.KEY, "query"), strategies.KEY).join(bodies.select("document_id", F.col("section_id").alias("id"), "content"), ["document_id", "id"])
         prompt = F.concat(F.lit('Quote the passage that answers as JSON {"quote": "..."}.\n'), "content", F.lit("\nQuestion: "), "query")
         said = rows.withColumn("reply", caller(self.client)(prompt)["reply"])
-        place = F.udf(lambda body, reply: None if not (q := replies.quote(reply, limit)) else (*replies.locate(body, q), q), "start int, end int, text string")
+
+        @F.pandas_udf("start int, end int, text string")
+        def place(bodies: pd.Series, answers: pd.Series) -> pd.DataFrame:
+            found = [(None, None, None) if not (q := replies.quote(a, limit)) else (*replies.locate(b, q), q) for b, a in zip(bodies, answers, strict=True)]
+            return pd.DataFrame(found, columns=["start", "end", "text"]).astype({"start": "Int32", "end": "Int32"})
+
         return said.select(*strategies.KEY, "id", place("content", "reply").alias("span"))
 
     def answer(self, queries: DataFrame, viewed: DataFrame, docs: DataFrame, bodies: DataFrame) -> DataFrame:
