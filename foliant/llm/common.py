@@ -27,6 +27,14 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _LOWER)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or one like it that no column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -64,6 +72,13 @@ def scratch_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tasks over which the rows of one value are dealt, and the size of filters.
+SALTS, FILTER_BITS = 32, 22
+
+#: Spark drops the shuffle files of a query as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Intermediate tables of one operator call, in the shared folder."""
 
@@ -76,9 +91,12 @@ class Scratch:
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        # Shuffle files stay until the driver's JVM finds their plan unreachable; it need not wait.
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -90,6 +108,36 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def salted(frame: DataFrame, by: list[str], spread: str, few: DataFrame) -> DataFrame:
+    """``frame`` joined with ``few`` on ``by``; rows of one value are dealt to ``SALTS`` tasks by ``spread``, ``few`` is copied."""
+    salts = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return frame.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salts, [*by, "salt"]).drop("salt")
+
+
+def may_hold(frame: DataFrame, column: str):
+    """A test that passes every value of a column and few others.
+
+    It is a bitmap of fixed size (2 ** FILTER_BITS bits), whatever the frame
+    holds, and reaches plans as a scalar subquery; when full it passes all, and
+    joins stay right.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    places = (1 << FILTER_BITS) // 64
+    at = frame.select(spot(F.col(column)).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+    maps = at.select(F.shiftright("p", 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("m"))
+    every = frame.sparkSession.range(0, places, 1, 1).withColumnRenamed("id", "w").join(maps, "w", "left")
+    rows = F.sort_array(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0).cast("long")).alias("m"))))
+    bits = every.agg(F.transform(rows, lambda x: x["m"]).alias("bits")).scalar()
+
+    def test(c: Column) -> Column:
+        p = spot(c)
+        word = F.get(bits, F.shiftright(p, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow result through the shared checkpoint folder.
 

@@ -16,7 +16,8 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     shrink by a factor and stars vanish at once.  Minima are combined before
     the shuffle, so a node with very many links is no hot key.  Every round is
     a stored table: nothing is recomputed after a loss.  Self-links and
-    repeated links are allowed; no links give no rows.
+    repeated links are allowed; no links give no rows.  A round's tables go as
+    soon as the next round has read them.
     """
     edges = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links-0")
     roots, i = None, 0
@@ -27,14 +28,32 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = scratch.write(least, f"least-{i}")
         over = least.select(F.col("node").alias("to"), F.col("to").alias("far"))
         jump = scratch.write(least.join(over, "to").select("node", F.col("far").alias("to")), f"jump-{i}")
+        scratch.drop(f"least-{i}")
         a, b = (jump.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
         moved = edges.join(a, "a").join(b, "b").where("a_to <> b_to")
         edges = scratch.write(moved.select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct(), f"links-{i}")
+        scratch.drop(f"links-{i - 1}")
         if roots is None:
             roots = jump.select("node", F.col("to").alias("root"))
         else:
             step = jump.select(F.col("node").alias("root"), F.col("to").alias("next"))
             roots = scratch.write(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"roots-{i}")
+            scratch.drop(f"jump-{i}", f"roots-{i - 1}" if i > 2 else "jump-1")
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
+
+
+def joined_components(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``roots(node, root)`` after some more ``links(a, b)``, which may name other nodes too."""
+    found = scratch.write(links.where("a <> b").distinct(), "joined-links")
+    if not found.take(1):
+        return roots
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    moved = found.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root"))
+    moved = scratch.write(moved, "joined-moved")
+    over = connected_components(moved.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), Scratch(scratch.spark, "joined"))
+    over = over.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    ends = moved.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_root").alias("root")), F.struct(F.col("b").alias("node"), F.col("b_root").alias("root")))).alias("x")).select("x.*")
+    every = roots.select("node", "root").unionByName(ends).distinct()
+    return scratch.write(every.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "joined-roots")
