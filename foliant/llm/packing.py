@@ -12,7 +12,7 @@ come from counts per (chunk, length), so no length is ever sorted in one task.
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 
 import numpy as np
@@ -27,14 +27,23 @@ _ENCODERS: dict = {}
 
 
 def encoder(path: str):
-    """A byte-level BPE encoder from a file of ranks (``.tiktoken``)."""
+    """The byte-level BPE of a ``tokenizers`` file (JSON), added tokens included.
+
+    Ids are those of that library with ``add_special_tokens=False``; ranks are
+    the ids, in whose order the file lists its merges.
+    """
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        # The alphabet of byte-level BPE: printable bytes stand for themselves, others for characters from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items()}
+        added = {t["content"]: t["id"] for t in model["added_tokens"]}
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODERS[path]
 
 
@@ -156,7 +165,7 @@ def pack(
             for s in slices([b], "t", 4 << 20):
                 keys, cols = [], [[] for _ in range(6)]
                 for i, t in enumerate(s.column("t").to_pylist()):
-                    ids = np.array(enc.encode_ordinary(t or "") + [end_id], "<u4")
+                    ids = np.array(enc.encode(t or "", allowed_special="all") + [end_id], "<u4")
                     raw = ids.tobytes()
                     for start in range(0, len(ids), window):
                         part = raw[4 * start : 4 * (start + window)]
@@ -207,15 +216,16 @@ def pack(
 
     def halve(batches):
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                first = window - r["offset"]
-                for start, n, sequence, offset in ((0, first, r["sequence"], r["offset"]), (first, r["length"] - first, r["sequence"] + 1, 0)):
-                    part = r["ids"][4 * start : 4 * (start + n)]
-                    rows.append((r["k"], r["start"] + start, n, zlib.crc32(part), r["doc_tokens"], sequence, offset))
-            names = ["k", "start", "length", "crc", "doc_tokens", "sequence", "offset"]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("k").type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
+            at = {c: b.column(c).to_numpy() for c in ("start", "length", "doc_tokens", "sequence", "offset")}
+            first = window - at["offset"]
+            ids = [v.as_buffer().to_pybytes() for v in b.column("ids")]
+            crcs = [[zlib.crc32(x[: 4 * n]) for x, n in zip(ids, first.tolist(), strict=True)], [zlib.crc32(x[4 * n :]) for x, n in zip(ids, first.tolist(), strict=True)]]
+            for start, n, sequence, offset, crc in (
+                (at["start"], first, at["sequence"], at["offset"], crcs[0]),
+                (at["start"] + first, at["length"] - first, at["sequence"] + 1, 0 * first, crcs[1]),
+            ):
+                cols = (start, n, np.array(crc, np.int64), at["doc_tokens"], sequence, offset)
+                yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(c) for c in cols)], ["k", "start", "length", "crc", "doc_tokens", "sequence", "offset"])
 
     placed = scratch.write(placed.withColumn("over", over).withColumn("ids", F.when(over, F.col("ids"))), "placed")
     scratch.drop("pieces")
