@@ -10,6 +10,7 @@ Version 2.0" does not count twice.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 from re import _parser
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWERED, ship, slices, text_buffers, words_of
+from .common import ALNUM, LOWERED, ship, slices, text_buffers, unused, words_of
 
 #: Phrases of the base scan and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -225,9 +226,20 @@ def detect(words: str, table: list[Rule]) -> list[tuple[int, int, Rule]]:
     usable = {x for x in {x for r in table for x in r.literals} if x in words}
     found = [(m.start(), m.end(), r) for r in table if not r.literals or not usable.isdisjoint(r.literals) for m in r.pattern.finditer(words)]
     kept: list[tuple[int, int, Rule]] = []
+    # Kept ranges of which none contains another, in order: starts and ends both rise.
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in sorted(found, key=lambda f: (f[2].priority, f[0] - f[1], f[0])):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect.bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        # Ranges inside the new one contain nothing that it does not.
+        last = at
+        while last < len(starts) and ends[last] <= end:
+            last += 1
+        first = at - 1 if at and starts[at - 1] == start else at
+        starts[first:last], ends[first:last] = [start], [end]
     return sorted(kept, key=lambda f: (f[0], f[1], f[2].priority))
 
 
@@ -266,11 +278,12 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in RESULT.names]
-    carried = [docs[c] for c in kept] + [docs[text].alias("__text")]
+    body_name = unused(docs.columns, "body")
+    carried = [docs[c] for c in kept] + [docs[text].alias(body_name)]
 
     def scan(batches):
-        for s in slices(batches, "__text", 4 << 20):
-            raw, offsets = text_buffers(s.column("__text"))
+        for s in slices(batches, body_name, 4 << 20):
+            raw, offsets = text_buffers(s.column(body_name))
             raw = LOWERED[raw]
             _, _, owner = words_of(raw, offsets, ALNUM)
             n_words = np.bincount(owner, minlength=s.num_rows)
@@ -278,7 +291,14 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [(int(n), 0, None, None, [], [], 0.0, []) for n in n_words]
             for i in np.flatnonzero(n_words).tolist():
                 words = b" ".join(body[offsets[i] : offsets[i + 1]].translate(_SPACED).split()).decode("utf-8", "replace")
-                place = lambda at: words.count(" ", 0, at)  # noqa: B023, E731
+                spaces: list[int] = []
+
+                def place(at):
+                    """The word at a character; spaces are listed once for a text with findings."""
+                    if not spaces:
+                        spaces.extend(m.start() for m in re.finditer(" ", words))  # noqa: B023
+                    return bisect.bisect_left(spaces, at)  # noqa: B023
+
                 base = [(m.start(), label) for p, label in _BASE_PATTERNS for m in p.finditer(words)]
                 found = [(r.label, place(a), place(b) + 1, r.score) for a, b, r in detect(words, RULES)]
                 spots = [place(a) for a, _ in base]
