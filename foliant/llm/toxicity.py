@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWERED, NON_SPACE, Scratch, hash_words, ship, slices, text_buffers, words_of
+from .common import LOWERED, NON_SPACE, Scratch, hash_words, ship, slices, text_buffers, unused, words_of
 
+#: Labelled keys learned from, entries of the lexicon, and letters of a word's beginning.
 SAMPLE = 20_000
 LEXICON = 4_096
 BEGINNING = 5
+#: An entry stands in so many sampled texts at least, and its log odds are above this.
+RARE, ODDS = 4, 0.7
 
 #: Second persons in the corpus' languages.
 _SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu toi ton ta tes vous votre vos te ti tus usted ustedes vosotros vuestro".split()
@@ -233,7 +236,8 @@ def score_toxicity(
     rows' texts come from ``corpus`` (default: ``docs``).  Null keys and
     labels teach nothing; of several labels of a key the highest counts.  A
     quarter of the sample is kept from the trees for the calibration.  Without
-    usable labels every score is that of an even prior.  Null texts score like
+    usable labels every score is that of an even prior.  Of several texts of
+    one key one is learned from, so that ``sample`` bounds what is collected.  Null texts score like
     empty ones.  Repeated rows are scored each; an empty table gives an empty
     result.  Columns of ``docs`` pass through; those named like the three
     results are replaced.
@@ -247,7 +251,10 @@ def score_toxicity(
     source = (corpus if corpus is not None else docs).select(F.col(key).alias("d"), F.col(text).alias("t"))
     # At most ``sample`` rows of (key, label).
     known = F.broadcast(known)
-    train = source.join(known, F.col("d") == F.col("k")).select("t", F.col("y").cast("int").alias("y"), (F.pmod(F.xxhash64("k", F.lit("part")), F.lit(4)) == 0).alias("cal"))
+    train = source.join(known, F.col("d") == F.col("k")).select("k", F.coalesce("t", F.lit("")).alias("t"), F.col("y").cast("int").alias("y"))
+    # One text for a key, however many rows repeat it: ``sample`` texts at most.
+    train = train.groupBy("k").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("y").alias("y"))
+    train = train.select("t", "y", (F.pmod(F.xxhash64("k", F.lit("part")), F.lit(4)) == 0).alias("cal"))
     train = scratch.write(train, "train")
 
     def counted(batches):
@@ -267,8 +274,8 @@ def score_toxicity(
     n_bad, n_good = n_bad or 0, n_good or 0
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
     words = fit.mapInArrow(counted, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    words = words.where("bad + good >= 4").withColumn("odds", odds)
-    top = words.where("odds > 0.7").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "h").limit(lexicon).toPandas().sort_values("h")
+    words = words.where(F.col("bad") + F.col("good") >= RARE).withColumn("odds", odds)
+    top = words.where(F.col("odds") > ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "h").limit(lexicon).toPandas().sort_values("h")
     keys = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, values = keys[order], top["odds"].to_numpy(float)[order]
@@ -289,12 +296,13 @@ def score_toxicity(
     scratch.drop()
     added = ("held_out", "score", "predicted")
     kept = [c for c in docs.columns if c not in added]
+    body = unused(docs.columns, "body")
 
     def score(batches):
-        for s in slices(batches, "__text", 4 << 20):
-            p = calibrated(model.raw(features(s.column("__text"), keys, values)), knots)
+        for s in slices(batches, body, 4 << 20):
+            p = calibrated(model.raw(features(s.column(body), keys, values)), knots)
             yield pa.RecordBatch.from_arrays([*(s.column(c) for c in kept), s.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, *added])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    rows = docs.select(*[docs[c] for c in kept], (fold_of(docs[key]) == 0).alias("held_out"), docs[text].alias("__text"))
+    rows = docs.select(*[docs[c] for c in kept], (fold_of(docs[key]) == 0).alias("held_out"), docs[text].alias(body))
     return rows.mapInArrow(score, schema)
