@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +44,21 @@ def shape(vectors: int, threshold: float, width: float, recall: float) -> tuple[
 
 
 class Hasher:
-    """Bucket keys of all tables.  Sums run over dimensions in a fixed order,
-    so a vector has the same keys in whichever batch it stands."""
+    """Bucket keys of all tables; directions are drawn once for each number of dimensions."""
 
     def __init__(self, tables: int, projections: int, width: float, seed: int):
         self.tables, self.projections, self.width, self.seed = tables, projections, width, seed
+        self.drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def directions(self, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+        if dimensions not in self.drawn:
+            rng, n = np.random.RandomState(self.seed), self.tables * self.projections
+            self.drawn[dimensions] = rng.uniform(0, self.width, n), rng.normal(size=(dimensions, n))
+        return self.drawn[dimensions]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        rng = np.random.RandomState(self.seed)
-        n = self.tables * self.projections
-        origin = rng.uniform(0, self.width, n)
-        # Directions come dimension by dimension, so vectors of any length can be hashed.
-        total = np.tile(origin, (len(x), 1))
-        for d in range(x.shape[1]):
-            total += x[:, d, None] * rng.normal(size=n)
-        steps = np.floor(total / self.width).astype(np.int64).view(np.uint64).reshape(len(x), self.tables, self.projections)
+        origin, towards = self.directions(x.shape[1])
+        steps = np.floor((x @ towards + origin) / self.width).astype(np.int64).view(np.uint64).reshape(len(x), self.tables, self.projections)
         out = np.tile(np.arange(self.tables, dtype=np.uint64) + np.uint64(x.shape[1] << 20), (len(x), 1))
         for p in range(self.projections):
             out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + steps[:, :, p]
@@ -65,9 +66,27 @@ class Hasher:
         return out.view(np.int64)
 
 
-def unit(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(raw, "<f8")
-    return x / np.linalg.norm(x)
+def matrix(blobs: list[bytes]) -> np.ndarray:
+    """Vectors of one length as rows of length one."""
+    x = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def scaled(column: pa.Array) -> list[bytes | None]:
+    """Vectors divided by their greatest component; None for those that link with nothing."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.asarray(pc.list_value_length(column).fill_null(0)).astype(np.int64)
+    flat = column.flatten()
+    empty = np.asarray(flat.is_null())
+    x = np.asarray(flat.cast(pa.float64()).fill_null(0.0)) + 0.0
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(size)), size)
+    ok = (size > 0) & (np.bincount(owner, empty | ~np.isfinite(x), len(size)) == 0)
+    most = np.zeros(len(size))
+    np.maximum.at(most, owner, np.where(np.isfinite(x), np.abs(x), 0.0))
+    ok &= most > 0
+    body = (x / np.where(ok, most, 1.0)[owner]).astype("<f8").tobytes()
+    return [body[8 * (b - n) : 8 * b] if good else None for b, n, good in zip(end.tolist(), size.tolist(), ok.tolist(), strict=True)]
 
 
 def near_vectors(
@@ -98,11 +117,8 @@ def near_vectors(
 
     def as_bytes(batches):
         for b in batches:
-            out = []
-            for v, group in zip(b.column("v").to_pylist(), b.column("label").to_pylist(), strict=True):
-                x = None if v is None or None in v or group is None else np.array(v, "<f8") + 0.0
-                ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
-                out.append((x / np.abs(x).max()).tobytes() if ok else None)
+            named = b.column("label").is_valid().to_pylist()
+            out = [v if has else None for v, has in zip(scaled(b.column("v")), named, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("label"), pa.array(out, pa.binary())], ["k", "label", "v"])
 
     rows = rows.mapInArrow(as_bytes, f"k {kind}, label {label_kind}, v binary")
@@ -113,71 +129,61 @@ def near_vectors(
     projections, tables = shape(n, threshold, width, recall)
     hasher = Hasher(tables, projections, width, seed)
 
-    def bucketed(batches):
+    def hashed(batches):
         for b in batches:
-            v = [unit(x) for x in b.column("v").to_pylist()]
-            cls = b.column("cls").to_numpy()
-            salt = np.asarray(b.column("salt")).astype(np.int64)
-            for d in {len(x) for x in v}:
-                at = np.flatnonzero([len(x) == d for x in v])
-                keys = hasher(np.stack([v[i] for i in at])) ^ salt[at, None]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(cls[at], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(keys.ravel())],
-                    ["cls", "tab", "bucket"],
-                )
+            blobs, salt = b.column("v").to_pylist(), b.column("salt").to_numpy()
+            sizes = np.array([len(v) for v in blobs])
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                keys = hasher(matrix([blobs[i] for i in at])) ^ salt[at, None]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("cls", "v", "copies")), pa.array(list(keys), pa.list_(pa.int64()))], ["cls", "v", "copies", "keys"])
 
     labelled = classes.join(rows.where("cls is not null").select("cls", "label").distinct(), "cls")
     labelled = labelled.select("cls", "v", "copies", F.xxhash64("label").alias("salt"))
-    buckets = labelled.mapInArrow(bucketed, "cls long, tab int, bucket long")
-    buckets = scratch.write(buckets, "buckets")
+    signed = scratch.write(labelled.mapInArrow(hashed, "cls long, v binary, copies long, keys array<long>"), "signed")
+    buckets = signed.select("cls", F.posexplode("keys").alias("tab", "bucket"))
     sizes = buckets.groupBy("bucket").count().where("count > 1")
     sizes = sizes.select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("blocks"))
     members = buckets.join(sizes, "bucket").withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("cls", "tab", "bucket", "block", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), (F.col("block") == F.col("other")).alias("own"))
-    tiles = tiles.join(classes.select("cls", "v", "copies"), "cls")
+    tiles = tiles.join(signed, "cls")
 
     def compare(t: pa.Table) -> list[pa.RecordBatch]:
         cls, copies = t.column("cls").to_numpy(), t.column("copies").to_numpy()
         block, table = t.column("block").to_numpy(), int(t.column("tab")[0].as_py())
-        x = np.stack([unit(v) for v in t.column("v").to_pylist()])
+        x = matrix(t.column("v").to_pylist())
         near = x @ x.T >= threshold - 1e-9
-        np.fill_diagonal(near, False)
         if not t.column("own")[0].as_py():
             near &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(near))
+        i, j = np.nonzero(np.triu(near, 1))
         if not len(i):
             return []
-        used = np.unique(np.concatenate([i, j]))
-        keys = np.zeros((len(x), table), np.int64)
-        keys[used] = hasher(x[used])[:, :table]
-        exact = np.array([float(np.dot(x[a], x[b])) >= threshold for a, b in zip(i, j, strict=True)])
-        fresh = exact & ~(keys[i] == keys[j]).any(1)
+        # Exact cosines, a few thousand at once; a pair counts in the first table that joins it.
+        fresh = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 4096]], x[j[k : k + 4096]]) >= threshold for k in range(0, len(i), 4096)])
+        if table:
+            keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(x), -1)[:, :table]
+            fresh &= np.concatenate([(keys[i[k : k + 4096]] != keys[j[k : k + 4096]]).all(1) for k in range(0, len(i), 4096)])
         i, j = i[fresh], j[fresh]
         links = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
-        # A forest is enough for components: the first link of each later member.
-        order = np.argsort(j, kind="stable")
+        # For components a star for each group of the tile is enough.
         root = np.arange(len(x))
-        edges = []
-        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((a, b))
-        at = np.flatnonzero(links)
-        a = np.array([e[0] for e in edges], np.int64)
-        b = np.array([e[1] for e in edges], np.int64)
+        while True:
+            low = np.minimum(root[i], root[j])
+            new = root.copy()
+            np.minimum.at(new, i, low)
+            np.minimum.at(new, j, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        at, b = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(x)))
         return [
             pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([cls[at], cls[a]])),
+                    pa.array(np.concatenate([cls[at], cls[root[b]]])),
                     pa.array(np.concatenate([np.zeros(len(at), np.int64), cls[b]])),
-                    pa.array(np.concatenate([links[at].astype(np.int64), np.zeros(len(a), np.int64)])),
+                    pa.array(np.concatenate([links[at].astype(np.int64), np.zeros(len(b), np.int64)])),
                 ],
                 ["a", "b", "links"],
             )
@@ -185,6 +191,7 @@ def near_vectors(
 
     found = scratch.write(by_sorted_group(tiles, "tile", compare, "a long, b long, links long"), "found")
     counted = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
+    scratch.drop("signed")
     roots = connected_components(found.where("links = 0").select("a", "b"), scratch)
     info = classes.select("cls", "copies", "least")
     info = info.join(counted, info["cls"] == counted["a"], "left").drop("a").join(roots, info["cls"] == roots["node"], "left").drop("node")
