@@ -1,40 +1,48 @@
 """N-gram Jaccard join over size-banded tiles.
 
 A document is the set of its distinct word shingles.  Two sets link when
-their intersection is at least ``num/den`` of their union; then their sizes
-lie in one or in neighbouring bands, and they differ in at most
-``(a + b) (den - num) / (den + num)`` elements.  A tile is one band together
-with the one below; in it every set is dealt, by element fingerprint, into
-more segments than two linked sets can differ in, so such sets agree in whole
-segments, and a join on segment fingerprints meets every linked pair.  Sets
-that share nothing but common phrases hardly ever agree in a whole segment.
-
-A bucket of equal segments is not expanded into pairs: its members are held
-against one of them, chosen by fingerprint order and hence mostly the same
-one in all buckets of a group.  Members are combined on the mapping side
-first, so a bucket never gets more rows than there are mapping tasks' flushes.
-A pair is first bounded from above by hashed bitmaps (each bit in which they
-differ is an element not shared), then intersected exactly.  Groups that fall
-into several components after that are compared exhaustively across
-components in blocks, again bitmap first; this makes components exact.
+their intersection is at least ``num/den`` of their union; their sizes then
+lie in one band or in neighbouring ones, and the rarest
+``n - ceil(n num/den) + 1`` shingles of either set, in an order common to all,
+have one in common.  These prefixes are the candidate keys.  The order comes
+from a table of fixed size that counts documents by hashed shingle: a passage
+that many documents share stands at the end of it, and hardly ever in a
+prefix.  Any order finds every link; this one keeps groups of a key small.
+
+A key's group is not expanded into pairs: its members are held against one of
+them, the least, and hence mostly the same one for all keys of a group of
+copies.  Members are combined on the mapping side first, so a key never gets
+more rows than there are mapping tasks' flushes.  Members stand with their
+hub in tiles of bounded size.  There hashed bitmaps bound the overlap from
+above (each bit in which they differ is an element not shared); pairs that
+pass are intersected exactly, as sorted arrays.
+
+Where a key's members are in different components after that, they are
+compared with each other in tiles of two blocks: bitmaps first, then, of
+members that may link, the elements, until a link joins the components; a pair
+needs neighbouring bands.  This makes components exact.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, NON_SPACE, Scratch, combine, grams, hash_words, mix64, shuffle_partitions, slices, text_buffers, words_of
-from .components import connected_components
+from .common import LOWERED, NON_SPACE, Scratch, combine, grams, hash_words, mix64, salted, shuffle_partitions, slices, text_buffers, words_of
+from .components import connected_components, joined_components
 from .tiles import by_sorted_group
 
-SPARE = 2
+#: Keys a mapping task holds before it combines them, and classes it remembers.
 FLUSH = 1 << 20
 SEEN_AT_MOST = 1 << 20
-BLOCK = 128
-SALTS = 32
+#: Members of a hub in one tile, and of a key in one block.
+TILE, BLOCK = 128, 128
+#: Counters of the common order, in rows of ``1 << ROW_BITS``; bits of the filter of wanted classes.
+ORDER_BITS, ROW_BITS = 22, 14
 BLOOM_BITS = 22
 
 
@@ -46,17 +54,21 @@ def shingle_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
     h = hash_words(raw, starts, ends)
     g, at = grams(h, text, n)
     owner = text[at]
-    few = np.bincount(text, minlength=len(offsets) - 1)
-    for k in range(1, n):
-        w, at = grams(h, text, k)
-        whole = few[text[at]] == k
-        g, owner = np.concatenate([g, w[whole]]), np.concatenate([owner, text[at][whole]])
-    order = np.lexsort((g, owner))
-    g, owner = g[order], owner[order]
+    rows = len(offsets) - 1
+    few = np.bincount(text, minlength=rows)
+    if ((few > 0) & (few < n)).any():
+        for k in range(1, n):
+            w, at = grams(h, text, k)
+            whole = few[text[at]] == k
+            g, owner = np.concatenate([g, w[whole]]), np.concatenate([owner, text[at][whole]])
+        order = np.argsort(owner, kind="stable")
+        g, owner = g[order], owner[order]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
+    for i in range(rows):
+        g[bounds[i] : bounds[i + 1]].sort()
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-    g, owner = g[new], owner[new]
-    return g, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(offsets) - 1))])
+    return g[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=rows))])
 
 
 def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -72,63 +84,90 @@ def class_ids(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix64(_sums(mix64(g), owner, len(bounds) - 1) + np.diff(bounds).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-class Bands:
-    """Band edges and the number of segments in each tile."""
+class Threshold:
+    """Jaccard similarity of at least ``num / den``."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+
+    def linked(self, both, a, b):
+        return self.den * both >= self.num * (a + b - both)
+
+    def near_sizes(self, a, b):
+        return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
+
+    def prefix(self, n):
+        return n + self.num * n // -self.den + 1
+
+    def band(self, n):
+        """Sets that link are in one band or in neighbouring ones."""
         edges = [1]
         while edges[-1] < 1 << 40:
-            edges.append(edges[-1] * den // num + 1)
-        self.edges = np.array(edges, np.int64)
-        most = 2 * (self.edges[1:] - 1) * (den - num) // (den + num)
-        self.segments = np.where(most > 0, most + 1 + SPARE, 0)
+            edges.append(edges[-1] * self.den // self.num + 1)
+        return np.searchsorted(np.array(edges, np.int64), n, side="right")
 
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, sizes, side="right") - 1
 
-    def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.den * both >= self.num * (a + b - both)
+def common_order(texts: DataFrame, shingle: int) -> np.ndarray:
+    """A rank for each hashed shingle, greater for those of more documents.
 
+    Counts of ``1 << ORDER_BITS`` counters are added up by rows; a rank is a
+    quarter of a power of two.  Size of the result and of what a task holds
+    do not depend on the input.
+    """
+    width = 1 << ROW_BITS
 
-def segment_keys(g: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, key) for both tiles of every set."""
+    def count(batches):
+        seen = np.zeros(1 << ORDER_BITS, np.uint32)
+        for s in slices(batches, "t", 2 << 20):
+            at = (shingle_sets(s.column("t"), shingle)[0] & np.uint64(len(seen) - 1)).astype(np.int32)
+            at.sort()
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+            seen[at[first]] += np.diff(np.concatenate([first, [len(at)]])).astype(np.uint32)
+        rows = [i for i in range(len(seen) // width) if seen[i * width : (i + 1) * width].any()]
+        blobs = [zlib.compress(seen[i * width : (i + 1) * width].tobytes(), 1) for i in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["row", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for row, blob in zip(b.column("row").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[row] = sums.get(row, 0) + np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
+        ranks = [np.floor(4 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], ["row", "ranks"])
+
+    summed = texts.mapInArrow(count, "row int, counts binary").repartition("row").mapInArrow(add, "row int, ranks binary")
+    out = np.zeros(1 << ORDER_BITS, np.uint8)
+    for r in summed.collect():  # 256 rows of 16 KB at most
+        out[r["row"] * width : (r["row"] + 1) * width] = np.frombuffer(r["ranks"], np.uint8)
+    return out
+
+
+def prefixes(g: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bounds): rank and 56 bits of the rarest shingles of every set."""
+    order = (ranks[(g & np.uint64(len(ranks) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
     sizes = np.diff(bounds)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    mixed = mix64(g)
-    keys, sets = [], []
-    for up in (0, 1):
-        tile = bands.of(np.maximum(sizes, 1)) + up
-        m = np.where(sizes > 0, bands.segments[tile], 0)
-        if not m.any():
-            continue
-        first = np.concatenate([[0], np.cumsum(m)])
-        has = m[owner] > 0
-        seg = first[owner[has]] + (g[has] % m[owner[has]].astype(np.uint64)).astype(np.int64)
-        sums = _sums(mixed[has], seg, first[-1])
-        filled = np.bincount(seg, minlength=first[-1]) > 0
-        own = np.repeat(np.arange(len(sizes)), m)
-        empties = np.bincount(own[~filled], minlength=len(sizes))
-        use = filled | (empties[own] > SPARE)
-        place = np.arange(first[-1]) - first[own]
-        k = combine([sums, (tile[own].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)])
-        keys.append(k[use].view(np.int64))
-        sets.append(own[use])
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(sets), np.concatenate(keys)
+    take = np.where(sizes > 0, limit.prefix(sizes), 0)
+    out = [np.partition(order[lo : lo + n], t - 1)[:t] for lo, n, t in zip(bounds.tolist(), sizes.tolist(), take.tolist(), strict=False) if t]
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64), np.concatenate([[0], np.cumsum(take)])
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def hub_links(keys: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per key its least class, and the other classes of the key paired with it."""
-    order = np.lexsort((cls, keys))
+    order = np.argsort(keys, kind="stable")
     keys, cls = keys[order], cls[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    hub = cls[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else cls
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(cls, first) if len(first) else cls
+    hub = np.repeat(least, np.diff(np.concatenate([first, [len(keys)]])))
     other = cls != hub
-    pairs = np.unique(np.stack([cls[other], hub[other]]), axis=1)
-    return keys[first], cls[first], pairs[0], pairs[1]
+    return keys[first], least, *distinct_pairs(cls[other], hub[other])
 
 
 def bitmap(g: np.ndarray, bits: int) -> np.ndarray:
@@ -138,33 +177,35 @@ def bitmap(g: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
-    """Eight bits an element, at least 64, a power of two."""
-    return 1 << max(6, int(8 * max(size, 1) - 1).bit_length())
+    """Four bits an element, at least 64, a power of two."""
+    return 1 << max(6, int(4 * max(size, 1) - 1).bit_length())
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows) at a narrower width: widths are powers of two and places are taken modulo the width."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, width), axis=1)
 
 
-def differing(a: np.ndarray, b: np.ndarray) -> int:
-    """Bits in which two bitmaps differ; the wider one is folded to the other's width.
-
-    Widths are powers of two and places are taken modulo the width, so folding
-    gives the bitmap of the narrower width.
-    """
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return int(_POP[a ^ b].sum(dtype=np.int64))
+def at_most_shared(maps: list[np.ndarray], n: np.ndarray, one: np.ndarray, n_one: int) -> np.ndarray:
+    """For every set the most elements that it can share with ``one``."""
+    out = np.zeros(len(maps), np.int64)
+    widths = np.array([len(m) for m in maps])
+    for w in np.unique(widths):
+        at, narrow = np.flatnonzero(widths == w), min(int(w), len(one))
+        differ = np.bitwise_count(folded(np.stack([maps[i] for i in at]), narrow) ^ folded(one[None], narrow)).sum(1, dtype=np.int64)
+        out[at] = (n[at] + n_one - differ) // 2
+    return out
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+def shared(sets: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted arrays with ``one``."""
+    sizes = np.array([len(s) for s in sets])
+    every = np.concatenate(sets)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    return np.bincount(np.repeat(np.arange(len(sets)), sizes), hit, len(sets)).astype(np.int64)
 
 
-_ROLE = {"segment": 0, "pair": 1, "document": 2}
+_ROLE = {"key": 0, "pair": 1, "document": 2}
 
 
 def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,9 +221,10 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    bands = Bands(num, den)
+    limit = Threshold(num, den)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
+    ranks = common_order(rows.select("t"), shingle)
 
     def emit(role, keys, a, b, ids):
         n = len(a)
@@ -198,7 +240,7 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
 
         def flush():
             keys, cls, a, b = hub_links(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
-            yield emit("segment", keys, cls, None, pa.nulls(len(keys), id_type))
+            yield emit("key", keys, cls, None, pa.nulls(len(keys), id_type))
             yield emit("pair", a ^ b, a, b, pa.nulls(len(a), id_type))
 
         for s in slices(batches, "t", 2 << 20):
@@ -214,8 +256,8 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             if len(seen) > SEEN_AT_MOST:
                 seen.clear()
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            sets, keys = segment_keys(g[fresh[owner]], np.concatenate([[0], np.cumsum(sizes[fresh])]), bands)
-            waiting.append((keys, cls[fresh][sets]))
+            keys, at = prefixes(g[fresh[owner]], np.concatenate([[0], np.cumsum(sizes[fresh])]), ranks, limit)
+            waiting.append((keys, np.repeat(cls[fresh], np.diff(at))))
             held += len(keys)
             if held >= FLUSH:
                 yield from flush()
@@ -224,59 +266,44 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             yield from flush()
 
     def meet(batches):
-        keys, cls, pairs, id_type = [], [], [], None
+        """Rows come sorted by key; the last key of a batch waits for the next one."""
+        keys, cls, id_type = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for b in batches:
-            role = b.column("role").to_numpy()
-            id_type = b.schema.field("k").type
-            a = b.column("a").to_numpy()
-            seg = role == _ROLE["segment"]
-            keys.append(b.column("key").to_numpy()[seg])
-            cls.append(a[seg])
-            pairs.append(np.stack([x[role == _ROLE["pair"]] for x in (a, b.column("b").fill_null(0).to_numpy())]))
-            doc = pa.array(role == _ROLE["document"])
-            yield b.filter(doc)
-        if keys:
-            _, _, a, b = hub_links(np.concatenate(keys), np.concatenate(cls))
-            pairs = np.unique(np.concatenate([*pairs, np.stack([a, b])], axis=1), axis=1)
-            yield emit("pair", pairs[0], pairs[0], pairs[1], pa.nulls(pairs.shape[1], id_type))
+            if not b.num_rows:
+                continue
+            role, id_type = b.column("role").to_numpy(), b.schema.field("k").type
+            yield b.filter(pa.array(role != _ROLE["key"]))
+            has = role == _ROLE["key"]
+            keys, cls = np.concatenate([keys, b.column("key").to_numpy()[has]]), np.concatenate([cls, b.column("a").to_numpy()[has]])
+            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            _, least, a, c = hub_links(keys[:done], cls[:done])
+            yield emit("pair", a ^ c, a, c, pa.nulls(len(a), id_type))
+            if len(keys) - done > FLUSH:  # a key of very many flushes keeps its least class alone
+                _, least, a, c = hub_links(keys[done:], cls[done:])
+                yield emit("pair", a ^ c, a, c, pa.nulls(len(a), id_type))
+                keys, cls, done = keys[-1:], least, 0
+            keys, cls = keys[done:], cls[done:]
+        if len(keys):
+            _, _, a, c = hub_links(keys, cls)
+            yield emit("pair", a ^ c, a, c, pa.nulls(len(a), id_type))
 
     schema = f"key long, role tinyint, a long, b long, k {kind}"
-    dealt = rows.mapInArrow(offer, schema).repartition(2 * shuffle_partitions(spark), "key").mapInArrow(meet, schema)
+    dealt = rows.mapInArrow(offer, schema).repartition(2 * shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(meet, schema)
     dealt = scratch.write(dealt, "dealt", ["role"])
     members = dealt.where(F.col("role") == _ROLE["document"]).select("k", F.col("a").alias("cls"), F.col("b").alias("n"))
     pairs = scratch.write(dealt.where(F.col("role") == _ROLE["pair"]).select("a", "b").distinct(), "pairs")
-
+    scratch.drop(f"dealt/role={_ROLE['pair']}")
     sets = _sets_of(rows.select("t"), pairs, shingle, scratch)
-    def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
-        left, right = (sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)) for c in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{x}_{c}" for x in columns for c in "ab"))
-
-    def bound(batches):
-        for batch in batches:
-            maybe = []
-            for x, y, m, n in zip(*(batch.column(c) for c in ("m_a", "m_b", "n_a", "n_b")), strict=True):
-                total = m.as_py() + n.as_py()
-                possible = (total - differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))) // 2
-                maybe.append(bool(den * possible >= num * (total - possible)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(maybe, pa.bool_())], ["a", "b", "maybe"])
-
-    def judge(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("g_a"), batch.column("g_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                ok.append(bool(bands.linked(_overlap(x, y), len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    # Bitmaps are an eighth of the sets, which only pairs that may link carry.
-    bounded = scratch.write(both_sides(pairs, "m", "n").mapInArrow(bound, "a long, b long, maybe boolean"), "bounded")
-    judged = both_sides(bounded.where("maybe").select("a", "b"), "g").mapInArrow(judge, "a long, b long, ok boolean")
-    judged = scratch.write(judged.unionByName(bounded.where("not maybe").select("a", "b", F.lit(False).alias("ok"))), "judged")
-    links = judged.where("ok").select("a", "b")
-    roots = connected_components(links, Scratch(spark, "jaccard-links"))
-    if judged.where("not ok").take(1):
-        more = _across_components(judged, roots, sets, bands, scratch)
-        roots = connected_components(links.unionByName(more), Scratch(spark, "jaccard-all"))
+
+    maybe = scratch.write(_with_hubs(pairs, sets, "m", limit), "maybe")
+    scratch.drop("pairs")
+    links = scratch.write(_with_hubs(maybe, sets, "g", limit), "links")
+    scratch.drop("maybe")
+    roots = connected_components(links, scratch)
+    more = _across_components(sets, roots, ranks, limit, scratch)
+    if more is not None:
+        roots = joined_components(roots, more, scratch)
+    scratch.drop("sets", "links", "across")
     known = members.where("n > 0").join(roots, members["cls"] == roots["node"], "left").select("k", F.coalesce("root", "cls").alias("comp"))
     least = known.groupBy("comp").agg(F.min("k").alias("component"))
     by_class = roots.select("node", "root").join(least.withColumnRenamed("comp", "root"), "root").select(F.col("node").alias("cls"), "component")
@@ -320,57 +347,127 @@ def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int, scratch: Scratch)
     return scratch.write(found.groupBy("cls").agg(F.first("g").alias("g"), F.first("m").alias("m")).withColumn("n", (F.length("g") / 8).cast("long")), "sets")
 
 
-def _across_components(judged: DataFrame, roots: DataFrame, sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
-    """Links between different components of one candidate group.
+def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, limit: Threshold) -> DataFrame:
+    """Those of ``pairs(a, b)``, b a hub, that may link by bitmaps ("m") or do link by their elements ("g").
 
-    The largest component of a group is not compared with itself: its members
-    stand in blocks of their own, and a tile is two blocks of which one at
-    least holds others.
+    A tile is a hub and at most about ``TILE`` of its members; the hub stands in it once.
     """
-    family = connected_components(judged.select("a", "b"), Scratch(scratch.spark, "jaccard-families"))
-    member = family.select(F.col("node").alias("cls"), F.col("root").alias("family")).join(roots, F.col("cls") == F.col("node"), "left").select("cls", "family", F.coalesce("root", "cls").alias("comp"))
-    sizes = member.groupBy("family", "comp").count()
-    groups = sizes.groupBy("family").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    groups = groups.select("family", F.col("main.comp").alias("main"), F.ceil(F.col("main.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("main.count")) / BLOCK).cast("int").alias("others"))
-    # A family may hold most members: both sides are salted, the small one copied.
-    salts = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    member = member.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salts, ["family", "salt"]).drop("salt")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("size"))
+    large = counts.where(F.col("size") > TILE).select("b", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    small = pairs.join(large, "b", "left_anti").select("a", "b", F.xxhash64("b", F.lit(0)).alias("tile"))
+    split = salted(pairs, ["b"], "a", large).select("a", "b", F.xxhash64("b", F.pmod(F.hash("a"), F.col("blocks"))).alias("tile"))
+    placed = small.unionByName(split)
+    hubs = placed.select("tile", F.col("b").alias("cls"), F.lit(True).alias("hub")).distinct()
+    rows = placed.select("tile", F.col("a").alias("cls"), F.lit(False).alias("hub")).unionByName(hubs)
+    rows = rows.join(sets.select("cls", "n", F.col(column).alias("v")), "cls")
+
+    def compare(t: pa.Table) -> list[pa.RecordBatch]:
+        hub = t.column("hub").to_numpy(zero_copy_only=False)
+        cls, n = t.column("cls").to_numpy(), t.column("n").to_numpy()
+        values = [np.frombuffer(v.as_buffer(), np.uint8 if column == "m" else np.uint64) for v in t.column("v")]
+        out = []
+        for h in np.flatnonzero(hub):
+            at = np.flatnonzero(~hub & limit.near_sizes(n, n[h]))
+            if not len(at):
+                continue
+            near = [values[i] for i in at]
+            both = at_most_shared(near, n[at], values[h], int(n[h])) if column == "m" else shared(near, values[h])
+            at = at[limit.linked(both, n[at], n[h])]
+            out.append(pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(np.full(len(at), cls[h]))], ["a", "b"]))
+        return out
+
+    return by_sorted_group(rows, "tile", compare, "a long, b long")
+
+
+def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, limit: Threshold, scratch: Scratch) -> DataFrame | None:
+    """Links between members of one key that are in different components so far.
+
+    Of keys with the same members one is enough.  A key's largest component is
+    not compared with itself: its members stand in blocks of their own, and a
+    tile is two blocks of which one at least holds others.
+    """
+
+    def keys_of(batches):
+        for b in batches:
+            blobs = [np.frombuffer(v.as_buffer(), np.uint64) for v in b.column("g")]
+            bounds = np.concatenate([[0], np.cumsum([len(v) for v in blobs])]).astype(np.int64)
+            keys, at = prefixes(np.concatenate(blobs) if blobs else np.zeros(0, np.uint64), bounds, ranks, limit)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))], ["cls", "keys"])
+
+    keyed = sets.select("cls", "g").mapInArrow(keys_of, "cls long, keys array<long>")
+    keyed = keyed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"), F.explode("keys").alias("key"))
+    print_ = F.bit_xor(F.xxhash64("cls")).alias("print")
+    keys = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), print_, F.count("*").alias("size")).where("lo <> hi")
+    keys = scratch.write(keys.groupBy("print", "size").agg(F.min("key").alias("key")).select("key"), "keys")
+    if not keys.take(1):
+        return None
+    member = scratch.write(salted(keyed, ["key"], "cls", keys), "members")
+    sizes = member.groupBy("key", "comp").count()
+    groups = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    groups = groups.select("key", F.col("main.comp").alias("main"), blocks(F.col("main.count")).alias("mains"), blocks(F.col("all") - F.col("main.count")).alias("others"))
+    member = salted(member, ["key"], "cls", groups)
     is_main = F.col("comp") == F.col("main")
     member = member.withColumn("is_main", is_main).withColumn("block", F.pmod(F.xxhash64("cls"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
     span = lambda n: F.sequence(F.lit(0), n - 1)
-    with_main = F.transform(span(F.col("mains")), lambda i: F.xxhash64("family", F.lit("main"), "block", i))
-    with_other = F.transform(span(F.col("others")), lambda i: F.xxhash64("family", F.lit("other"), F.least("block", i), F.greatest("block", i)))
-    from_main = F.transform(span(F.col("others")), lambda i: F.xxhash64("family", F.lit("main"), i, "block"))
+
+    def tile(what: str, lo: Column, hi: Column) -> Column:
+        return F.xxhash64("key", F.lit(what), lo, hi)
+
+    block = F.col("block")
+    with_main = F.transform(span(F.col("mains")), lambda i: tile("main", block, i))
+    with_other = F.transform(span(F.col("others")), lambda i: tile("other", F.least(block, i), F.greatest(block, i)))
+    from_main = F.transform(span(F.col("others")), lambda i: tile("main", i, block))
     tiles = F.when(F.col("is_main"), from_main).otherwise(F.concat(with_main, with_other))
-    placed = scratch.write(member.select("cls", "comp", F.explode(tiles).alias("tile")), "tiles").join(sets.select("cls", "g"), "cls")
+    placed = scratch.write(member.select("cls", "comp", F.explode(tiles).alias("tile")), "tiles")
+
+    def candidates(t: pa.Table) -> list[pa.RecordBatch]:
+        """Members of which the bitmaps allow a link to another component."""
+        comp, n = t.column("comp").to_numpy(), t.column("n").to_numpy()
+        maps, band = [np.frombuffer(v.as_buffer(), np.uint8) for v in t.column("m")], limit.band(n)
+        widths = np.array([len(m) for m in maps])
+        same = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+        whole = {w: np.stack([maps[i] for i in at]) for w, at in same.items()}
+        at_width = {(w, v): folded(whole[w], v) for w in same for v in same if v <= w}
+        hit = np.zeros(len(n), bool)
+        for i in range(len(n)):
+            for w, at in same.items():
+                narrow = min(w, int(widths[i]))
+                differ = np.bitwise_count(at_width[w, narrow] ^ folded(maps[i][None], narrow)).sum(1, dtype=np.int64)
+                near = (at > i) & (comp[at] != comp[i]) & (abs(band[at] - band[i]) <= 1) & limit.near_sizes(n[at], n[i])
+                near &= limit.linked((n[at] + n[i] - differ) // 2, n[at], n[i])
+                hit[at[near]] = True
+                hit[i] |= near.any()
+        return [t.select(["tile", "cls", "comp"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]] if hit.any() else []
+
+    near = by_sorted_group(placed.join(sets.select("cls", "n", "m"), "cls"), "tile", candidates, "tile long, cls long, comp long")
+    # Elements are sent for such members alone.
+    placed = scratch.write(near, "near").join(sets.select("cls", "g"), "cls")
 
     def compare(t: pa.Table) -> list[pa.RecordBatch]:
-        cls, comp = t.column("cls").to_numpy(), t.column("comp").to_numpy()
+        cls = t.column("cls").to_numpy()
+        names, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
         g = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("g")]
         n = np.array([len(x) for x in g])
-        bits = bits_for(int(n.max()))
-        maps = np.stack([bitmap(x, bits) for x in g])
-        links, label = [], {int(c): int(c) for c in comp}
-
-        def find(c):
-            while label[c] != c:
-                label[c] = label[label[c]]
-                c = label[c]
-            return c
-
-        for i in range(len(g)):
-            later = np.arange(i + 1, len(g))
-            later = later[(comp[later] != comp[i]) & (bands.den * np.minimum(n[later], n[i]) >= bands.num * np.maximum(n[later], n[i]))]
+        band, maps = limit.band(n), np.stack([bitmap(x, bits_for(int(n.max()))) for x in g])
+        label, links = np.arange(len(names)), []
+        for i in range(len(cls) - 1):
+            later = np.arange(i + 1, len(cls))
+            later = later[(label[comp[later]] != label[comp[i]]) & (abs(band[later] - band[i]) <= 1) & limit.near_sizes(n[later], n[i])]
+            if not len(later):
+                continue
+            differ = np.bitwise_count(maps[later] ^ maps[i]).sum(1, dtype=np.int64)
+            later = later[limit.linked((n[later] + n[i] - differ) // 2, n[later], n[i])]
             if not len(later):
                 continue
-            differ = _POP[maps[later] ^ maps[i]].sum(1, dtype=np.int64)
-            possible = (n[later] + n[i] - differ) // 2
-            for j in later[bands.linked(possible, n[later], n[i])]:
-                x, y = find(int(comp[i])), find(int(comp[j]))
-                if x != y and bands.linked(_overlap(g[i], g[j]), len(g[i]), len(g[j])):
-                    label[max(x, y)] = min(x, y)
+            for j in later[limit.linked(shared([g[j] for j in later], g[i]), n[later], n[i])]:
+                x, y = label[comp[i]], label[comp[j]]
+                if x != y:  # one link joins two components; more of them say nothing new
+                    label[label == x] = y
                     links.append((cls[i], cls[j]))
         a, b = (np.array([p[k] for p in links], np.int64) for k in (0, 1))
         return [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])]
 
-    return scratch.write(by_sorted_group(placed, "tile", compare, "a long, b long"), "across")
+    links = scratch.write(by_sorted_group(placed, "tile", compare, "a long, b long"), "across")
+    scratch.drop("keys", "members", "tiles", "near")
+    return links
