@@ -2,17 +2,27 @@
 
 A document is the set of its distinct word shingles.  Two sets link when
 their intersection is at least ``num/den`` of their union; their sizes then
-lie in one band or in neighbouring ones, and the rarest
-``n - ceil(n num/den) + 1`` shingles of either set, in an order common to all,
-have one in common.  These prefixes are the candidate keys.  The order comes
-from a table of fixed size that counts documents by hashed shingle: a passage
-that many documents share stands at the end of it, and hardly ever in a
-prefix.  Any order finds every link; this one keeps groups of a key small.
+lie in one band or in neighbouring ones.  Candidate keys depend on the threshold:
+
+* From ``PARTS_FROM`` on, elements are dealt by their hash to more parts than
+  linked sets of those bands can differ in, so that some part is the same in
+  both; its elements together are the key.  A part holds several elements, so
+  sets that share a passage or single shingles hardly ever share a key, however
+  many there are.  Empty parts are no keys: a few more parts make up for them,
+  and sets of more empty ones have prefixes (below) for keys too.
+* Below, the rarest ``n - ceil(n num/den) + 1`` shingles of either set, in an
+  order common to all, have one in common.  These prefixes are the keys.  The
+  order comes from a table of fixed size that counts documents by hashed
+  shingle: a passage that many documents share stands at the end of it, and
+  hardly ever in a prefix.
+
+Either way every link has a key.
 
 A key's group is not expanded into pairs: its members are held against one of
 them, the least, and hence mostly the same one for all keys of a group of
-copies.  Members are combined on the mapping side first, so a key never gets
-more rows than there are mapping tasks' flushes.  Members stand with their
+copies.  Members are combined on the mapping side first, so a key never has
+more members there than there are mapping tasks' flushes; keys go through the
+shuffle packed, by ranges of their values.  Members stand with their
 hub in tiles of bounded size.  There hashed bitmaps bound the overlap from
 above (each bit in which they differ is an element not shared); pairs that
 pass are intersected exactly, as sorted arrays.
@@ -43,6 +53,12 @@ SEEN_AT_MOST = 1 << 20
 TILE, BLOCK = 128, 128
 #: Counters of the common order, in rows of ``1 << ROW_BITS``; bits of the filter of wanted classes.
 ORDER_BITS, ROW_BITS = 22, 14
+#: Keys of more members are dealt to many tasks.
+HOT = 4096
+#: Ranges of keys (their upper bits), one of which is in memory at a time.
+RANGE_BITS = 12
+#: The least similarity (percent) at which equal parts are the keys; parts of a large set hold some six elements, at 90 some nine.
+PARTS_FROM = 85
 BLOOM_BITS = 22
 
 
@@ -89,6 +105,14 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.by_parts = 100 * num >= PARTS_FROM * den
+        edges = [1]
+        while edges[-1] < 1 << 40:
+            edges.append(edges[-1] * den // num + 1)
+        self.edges = np.array(edges, np.int64)
+        # Parts are for sets of two spans at once, each two bands wide.
+        self.spans = self.edges[::2]
+        self.differ, self.spare = self._parts()
 
     def linked(self, both, a, b):
         return self.den * both >= self.num * (a + b - both)
@@ -101,10 +125,20 @@ class Threshold:
 
     def band(self, n):
         """Sets that link are in one band or in neighbouring ones."""
-        edges = [1]
-        while edges[-1] < 1 << 40:
-            edges.append(edges[-1] * self.den // self.num + 1)
-        return np.searchsorted(np.array(edges, np.int64), n, side="right")
+        return np.searchsorted(self.edges, n, side="right")
+
+    def _parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """By span: in how many elements linked sets differ at most, of which the smaller is of the span
+        and the larger of it or the next one; and parts added to those, more than are mostly empty."""
+        least, after, last = (self.spans[i : len(self.spans) - 2 + i].astype(float) for i in range(3))
+        small, large = after - 1, np.minimum(np.floor((after - 1) * self.den / self.num), last - 1)
+        differ = np.floor((small + large) * (self.den - self.num) / (self.den + self.num) + 1e-6)
+        spare = np.ones(len(differ))
+        for _ in range(20):
+            parts = differ + 1 + spare
+            empty = parts * np.exp(-least / parts)
+            spare = np.ceil(np.minimum(np.maximum(1, empty + 4 * np.sqrt(empty)), 1 + least))
+        return differ.astype(np.int64), spare.astype(np.int64)
 
 
 def common_order(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -151,6 +185,40 @@ def prefixes(g: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, limit: Thresh
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64), np.concatenate([[0], np.cumsum(take)])
 
 
+def candidate_keys(g: np.ndarray, bounds: np.ndarray, ranks: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bounds) of every set; linked sets that differ have one in common."""
+    if not limit.by_parts:
+        keys, at = prefixes(g, bounds, ranks, limit)
+        return mix64(keys.view(np.uint64)).view(np.int64), at
+    sizes = np.diff(bounds)
+    span = np.searchsorted(limit.spans, sizes, side="right") - 1
+    keys, owners = [], []
+    sparse = np.zeros(len(sizes), bool)
+    for down in (0, 1):  # as the smaller of two sets, and as one that may link with a set of the span before
+        at = np.maximum(span - down, 0)
+        may = (sizes > 0) & (span >= down) & (limit.differ[at] > 0)
+        if down:
+            may &= limit.near_sizes(limit.spans[span] - 1, sizes)
+        parts = np.where(may, limit.differ[at] + 1 + limit.spare[at], 0)
+        first = np.concatenate([[0], np.cumsum(parts)])
+        owner = np.repeat(np.arange(len(sizes)), np.where(may, sizes, 0))
+        own = g[np.repeat(may, sizes)]
+        place = first[owner] + (((own >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        count = np.bincount(place, minlength=first[-1])
+        of = np.repeat(np.arange(len(sizes)), parts)
+        no = (np.arange(first[-1]) - first[of]).astype(np.uint64)
+        seed = mix64((at[of].astype(np.uint64) << np.uint64(44)) + no)
+        key = mix64(_sums(mix64(own), place, int(first[-1])) + seed)
+        keys.append(key[count > 0])
+        owners.append(of[count > 0])
+        sparse |= may & (np.bincount(of, count == 0, len(sizes)) > limit.spare[at])
+    some = np.where(sparse, sizes, 0)
+    more, more_at = prefixes(g[np.repeat(sparse, sizes)], np.concatenate([[0], np.cumsum(some)]), np.zeros(1, np.uint8), limit)
+    keys, owners = np.concatenate([*keys, mix64(more.view(np.uint64))]), np.concatenate([*owners, np.repeat(np.arange(len(sizes)), np.diff(more_at))])
+    order = np.argsort(owners, kind="stable")
+    return keys[order].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(sizes)))])
+
+
 def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -205,6 +273,14 @@ def shared(sets: list[np.ndarray], one: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(sets)), sizes), hit, len(sets)).astype(np.int64)
 
 
+def packed(keys: np.ndarray, cls: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Ranges of ascending unsigned keys, and for each its keys and classes."""
+    of = (keys >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=False))
+    return of[cuts].tolist(), [keys[a:b].tobytes() for a, b in spans], [cls[a:b].tobytes() for a, b in spans]
+
+
 _ROLE = {"key": 0, "pair": 1, "document": 2}
 
 
@@ -224,14 +300,17 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
     limit = Threshold(num, den)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    ranks = common_order(rows.select("t"), shingle)
+    ranks = np.zeros(1, np.uint8) if limit.by_parts else common_order(rows.select("t"), shingle)
 
-    def emit(role, keys, a, b, ids):
-        n = len(a)
+    def emit(role, at, a, b, ids, keys=None, classes=None):
+        n, none = len(at), lambda t: pa.nulls(len(at), t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array(np.full(n, _ROLE[role], np.int8)), pa.array(a), pa.array(b) if b is not None else pa.nulls(n, pa.int64()), ids],
-            ["key", "role", "a", "b", "k"],
-        )
+            [
+                pa.array(at, pa.int64()), pa.array(np.full(n, _ROLE[role], np.int8)), none(pa.int64()) if a is None else pa.array(a), none(pa.int64()) if b is None else pa.array(b),
+                ids, pa.array(keys, pa.binary()) if keys else none(pa.binary()), pa.array(classes, pa.binary()) if classes else none(pa.binary()),
+            ],
+            ["range", "role", "a", "b", "k", "keys", "classes"],
+        )
 
     def offer(batches):
         seen: set[int] = set()
@@ -239,8 +318,9 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
         held, id_type = 0, None
 
         def flush():
-            keys, cls, a, b = hub_links(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
-            yield emit("key", keys, cls, None, pa.nulls(len(keys), id_type))
+            keys, cls, a, b = hub_links(np.concatenate([w[0] for w in waiting]).view(np.uint64), np.concatenate([w[1] for w in waiting]))
+            at, blobs, members = packed(keys, cls)
+            yield emit("key", at, None, None, pa.nulls(len(at), id_type), blobs, members)
             yield emit("pair", a ^ b, a, b, pa.nulls(len(a), id_type))
 
         for s in slices(batches, "t", 2 << 20):
@@ -256,7 +336,7 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             if len(seen) > SEEN_AT_MOST:
                 seen.clear()
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            keys, at = prefixes(g[fresh[owner]], np.concatenate([[0], np.cumsum(sizes[fresh])]), ranks, limit)
+            keys, at = candidate_keys(g[fresh[owner]], np.concatenate([[0], np.cumsum(sizes[fresh])]), ranks, limit)
             waiting.append((keys, np.repeat(cls[fresh], np.diff(at))))
             held += len(keys)
             if held >= FLUSH:
@@ -266,30 +346,30 @@ def link_documents(docs: DataFrame, num: int = 90, den: int = 100, shingle: int
             yield from flush()
 
     def meet(batches):
-        """Rows come sorted by key; the last key of a batch waits for the next one."""
-        keys, cls, id_type = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        """Rows come sorted by range; one range's keys are held at a time."""
+        now, held, id_type = None, [], None
+
+        def pairs():
+            keys, cls = (np.frombuffer(b"".join(h[i] for h in held), t) for i, t in enumerate((np.uint64, np.int64)))
+            _, _, a, c = hub_links(keys, cls)
+            return emit("pair", a ^ c, a, c, pa.nulls(len(a), id_type))
+
         for b in batches:
-            if not b.num_rows:
-                continue
             role, id_type = b.column("role").to_numpy(), b.schema.field("k").type
             yield b.filter(pa.array(role != _ROLE["key"]))
-            has = role == _ROLE["key"]
-            keys, cls = np.concatenate([keys, b.column("key").to_numpy()[has]]), np.concatenate([cls, b.column("a").to_numpy()[has]])
-            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            _, least, a, c = hub_links(keys[:done], cls[:done])
-            yield emit("pair", a ^ c, a, c, pa.nulls(len(a), id_type))
-            if len(keys) - done > FLUSH:  # a key of very many flushes keeps its least class alone
-                _, least, a, c = hub_links(keys[done:], cls[done:])
-                yield emit("pair", a ^ c, a, c, pa.nulls(len(a), id_type))
-                keys, cls, done = keys[-1:], least, 0
-            keys, cls = keys[done:], cls[done:]
-        if len(keys):
-            _, _, a, c = hub_links(keys, cls)
-            yield emit("pair", a ^ c, a, c, pa.nulls(len(a), id_type))
-
-    schema = f"key long, role tinyint, a long, b long, k {kind}"
-    dealt = rows.mapInArrow(offer, schema).repartition(2 * shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(meet, schema)
-    dealt = scratch.write(dealt, "dealt", ["role"])
+            has = b.filter(pa.array(role == _ROLE["key"]))
+            for at, keys, classes in zip(*(has.column(c).to_pylist() for c in ("range", "keys", "classes")), strict=True):
+                if held and at != now:
+                    yield pairs()
+                    held = []
+                now = at
+                held.append((keys, classes))
+        if held:
+            yield pairs()
+
+    schema = f"range long, role tinyint, a long, b long, k {kind}, keys binary, classes binary"
+    dealt = rows.mapInArrow(offer, schema).repartition(2 * shuffle_partitions(spark), "range").sortWithinPartitions("role", "range").mapInArrow(meet, schema)
+    dealt = scratch.write(dealt.drop("keys", "classes"), "dealt", ["role"])
     members = dealt.where(F.col("role") == _ROLE["document"]).select("k", F.col("a").alias("cls"), F.col("b").alias("n"))
     pairs = scratch.write(dealt.where(F.col("role") == _ROLE["pair"]).select("a", "b").distinct(), "pairs")
     scratch.drop(f"dealt/role={_ROLE['pair']}")
@@ -321,10 +401,9 @@ def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int, scratch: Scratch)
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     bit = F.col("cls").bitwiseAND((1 << BLOOM_BITS) - 1)
     marks = wanted.select((bit / 32768).cast("int").alias("w"), (bit % 32768).cast("long").alias("b")).groupBy("w").agg(F.bitmap_construct_agg("b").alias("m"))
-    packed = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    marked = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
     for r in marks.collect():  # 128 rows of 4 KB at most
-        packed[r["w"] * 4096 : r["w"] * 4096 + 4096] = np.frombuffer(r["m"], np.uint8)[:4096]
-    mask = np.unpackbits(packed, bitorder="little").astype(bool)
+        marked[r["w"] * 4096 : r["w"] * 4096 + 4096] = np.frombuffer(r["m"], np.uint8)[:4096]
 
     def pick(batches):
         seen: set[int] = set()
@@ -332,7 +411,8 @@ def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int, scratch: Scratch)
             g, bounds = shingle_sets(s.column("t"), shingle)
             cls = class_ids(g, bounds)
             out, sets, maps = [], [], []
-            for i in np.flatnonzero(mask[cls & ((1 << BLOOM_BITS) - 1)] & (np.diff(bounds) > 0)):
+            spot = cls & ((1 << BLOOM_BITS) - 1)
+            for i in np.flatnonzero((marked[spot >> 3] >> (spot & 7).astype(np.uint8)) & (np.diff(bounds) > 0)):
                 if (c := int(cls[i])) not in seen:
                     seen.add(c)
                     out.append(c)
@@ -347,6 +427,11 @@ def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int, scratch: Scratch)
     return scratch.write(found.groupBy("cls").agg(F.first("g").alias("g"), F.first("m").alias("m")).withColumn("n", (F.length("g") / 8).cast("long")), "sets")
 
 
+def _dealt(sets: DataFrame) -> DataFrame:
+    """Sets that a join deals by class: near copies take far less room in a file than in the driver, which a broadcast goes through."""
+    return sets.hint("merge")
+
+
 def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, limit: Threshold) -> DataFrame:
     """Those of ``pairs(a, b)``, b a hub, that may link by bitmaps ("m") or do link by their elements ("g").
 
@@ -359,7 +444,7 @@ def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, limit: Threshold)
     placed = small.unionByName(split)
     hubs = placed.select("tile", F.col("b").alias("cls"), F.lit(True).alias("hub")).distinct()
     rows = placed.select("tile", F.col("a").alias("cls"), F.lit(False).alias("hub")).unionByName(hubs)
-    rows = rows.join(sets.select("cls", "n", F.col(column).alias("v")), "cls")
+    rows = rows.join(_dealt(sets.select("cls", "n", F.col(column).alias("v"))), "cls")
 
     def compare(t: pa.Table) -> list[pa.RecordBatch]:
         hub = t.column("hub").to_numpy(zero_copy_only=False)
@@ -379,6 +464,17 @@ def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, limit: Threshold)
     return by_sorted_group(rows, "tile", compare, "a long, b long")
 
 
+def _members(frame: DataFrame, few: DataFrame) -> DataFrame:
+    """``frame`` joined with ``few(key, size, ...)`` on the key; rows of keys of great size are dealt to many tasks.
+
+    Others are not copied for that: copies of all would be far more than Spark
+    reckons with when it decides on a broadcast, which the driver holds.
+    """
+    large = few.where(F.col("size") > HOT)
+    out = frame.join(few.where(F.col("size") <= HOT), "key").drop("size")
+    return out.unionByName(salted(frame, ["key"], "cls", large).drop("size")) if large.take(1) else out
+
+
 def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, limit: Threshold, scratch: Scratch) -> DataFrame | None:
     """Links between members of one key that are in different components so far.
 
@@ -391,22 +487,22 @@ def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, lim
         for b in batches:
             blobs = [np.frombuffer(v.as_buffer(), np.uint64) for v in b.column("g")]
             bounds = np.concatenate([[0], np.cumsum([len(v) for v in blobs])]).astype(np.int64)
-            keys, at = prefixes(np.concatenate(blobs) if blobs else np.zeros(0, np.uint64), bounds, ranks, limit)
+            keys, at = candidate_keys(np.concatenate(blobs) if blobs else np.zeros(0, np.uint64), bounds, ranks, limit)
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))], ["cls", "keys"])
 
     keyed = sets.select("cls", "g").mapInArrow(keys_of, "cls long, keys array<long>")
     keyed = keyed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"), F.explode("keys").alias("key"))
     print_ = F.bit_xor(F.xxhash64("cls")).alias("print")
     keys = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), print_, F.count("*").alias("size")).where("lo <> hi")
-    keys = scratch.write(keys.groupBy("print", "size").agg(F.min("key").alias("key")).select("key"), "keys")
+    keys = scratch.write(keys.groupBy("print", "size").agg(F.min("key").alias("key")).select("key", "size"), "keys")
     if not keys.take(1):
         return None
-    member = scratch.write(salted(keyed, ["key"], "cls", keys), "members")
+    member = scratch.write(_members(keyed, keys), "members")
     sizes = member.groupBy("key", "comp").count()
     groups = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    groups = groups.select("key", F.col("main.comp").alias("main"), blocks(F.col("main.count")).alias("mains"), blocks(F.col("all") - F.col("main.count")).alias("others"))
-    member = salted(member, ["key"], "cls", groups)
+    groups = groups.select("key", F.col("all").alias("size"), F.col("main.comp").alias("main"), blocks(F.col("main.count")).alias("mains"), blocks(F.col("all") - F.col("main.count")).alias("others"))
+    member = _members(member, scratch.write(groups, "groups"))
     is_main = F.col("comp") == F.col("main")
     member = member.withColumn("is_main", is_main).withColumn("block", F.pmod(F.xxhash64("cls"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
     span = lambda n: F.sequence(F.lit(0), n - 1)
@@ -440,9 +536,9 @@ def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, lim
                 hit[i] |= near.any()
         return [t.select(["tile", "cls", "comp"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]] if hit.any() else []
 
-    near = by_sorted_group(placed.join(sets.select("cls", "n", "m"), "cls"), "tile", candidates, "tile long, cls long, comp long")
+    near = by_sorted_group(placed.join(_dealt(sets.select("cls", "n", "m")), "cls"), "tile", candidates, "tile long, cls long, comp long")
     # Elements are sent for such members alone.
-    placed = scratch.write(near, "near").join(sets.select("cls", "g"), "cls")
+    placed = scratch.write(near, "near").join(_dealt(sets.select("cls", "g")), "cls")
 
     def compare(t: pa.Table) -> list[pa.RecordBatch]:
         cls = t.column("cls").to_numpy()
@@ -469,5 +565,5 @@ def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, lim
         return [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])]
 
     links = scratch.write(by_sorted_group(placed, "tile", compare, "a long, b long"), "across")
-    scratch.drop("keys", "members", "tiles", "near")
+    scratch.drop("keys", "members", "groups", "tiles", "near")
     return links
