@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +23,37 @@ def assemble(nodes: DataFrame) -> DataFrame:
     chain ``toc_<structure>`` (or the place, where that is blank) by ``_``.
     """
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        out, stack = [], []
-        for r in g.sort_values("pos").itertuples(index=False):
-            if not (r.title or "").strip():
-                continue
-            structure = (r.structure or "").strip()
-            del stack[structure.count(".") :]
-            up = stack[-1] if stack else None
-            seq = len(out)
-            place = sum(1 for o in out if o[2] == (up[0] if up else None))
-            node = "_".join(x for x in (up[1] if up else "toc", structure or f"n{place}") if x)
-            out.append((r.document_id, seq, up[0] if up else None, len(stack), structure, r.title.strip(), int(r.start_page or 0), node))
-            stack.append((seq, node))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TOC.split(", ")])
-
-    return nodes.groupBy("document_id").applyInPandas(each, TOC)
+    names = [c.split()[0] for c in TOC.split(", ")]
+    kind = pa.schema(list(zip(names, [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()], strict=True)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; what is held is the stack: (seq, node id, children so far)."""
+        now, seq, top, stack = object(), 0, 0, []
+        for batch in batches:
+            out = []
+            for document, structure, title, start in zip(*(batch.column(c).to_pylist() for c in ("document_id", "structure", "title", "start_page")), strict=True):
+                if document != now:
+                    now, seq, top, stack = document, 0, 0, []
+                title = (title or "").strip()
+                if not title:
+                    continue
+                structure = (structure or "").strip()
+                del stack[structure.count(".") :]
+                if stack:
+                    up = stack[-1]
+                    place, up[2] = up[2], up[2] + 1
+                else:
+                    up, place, top = None, top, top + 1
+                node = "_".join(x for x in (up[1] if up else "toc", structure or f"n{place}") if x)
+                out.append((document, seq, up[0] if up else None, len(stack), structure, title, start or 0, node))
+                stack.append([seq, node, 0])
+                seq += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
+
+    rows = nodes.select(F.col("document_id").cast("string").alias("document_id"), "pos", "structure", "title", F.col("start_page").cast("int").alias("start_page"))
+    rows = rows.repartition("document_id").sortWithinPartitions("document_id", F.asc_nulls_last("pos"))
+    return rows.mapInArrow(walk, TOC)
 
 
 def end_pages(nodes: DataFrame, last_pages: DataFrame) -> DataFrame:
