@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,23 +59,67 @@ def assemble(nodes: DataFrame) -> DataFrame:
 
 def end_pages(nodes: DataFrame, last_pages: DataFrame) -> DataFrame:
     """Add end_page: before the first later sibling that starts after the node,
-    else the parent's end, else the document's last page; 0 where that is before the start."""
-    a, b = nodes.alias("a"), nodes.alias("b")
-    later = (F.col("a.document_id") == F.col("b.document_id")) & F.col("a.parent_seq").eqNullSafe(F.col("b.parent_seq"))
-    later = later & (F.col("b.toc_seq") > F.col("a.toc_seq")) & (F.col("b.start_page") > F.col("a.start_page"))
-    following = a.join(b, later).groupBy("a.document_id", "a.toc_seq").agg(F.min_by(F.col("b.start_page"), F.col("b.toc_seq")).alias("__after"))
-    rows = nodes.join(following, ["document_id", "toc_seq"], "left").join(last_pages, "document_id", "left")
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    done = None
-    for d in range((deepest if deepest is not None else -1) + 1):
-        level = rows.where(F.col("depth") == d)
-        if done is None:
-            level = level.withColumn("__ceiling", F.col("last_page"))
-        else:
-            up = done.select("document_id", F.col("toc_seq").alias("parent_seq"), F.col("end_page").alias("__up"))
-            level = level.join(up, ["document_id", "parent_seq"], "left").withColumn("__ceiling", F.coalesce(F.when(F.col("__up") > 0, F.col("__up")), F.col("last_page")))
-        end = F.coalesce(F.col("__after") - 1, "__ceiling")
-        good = (F.col("start_page") > 0) & (end >= F.col("start_page"))
-        level = level.select(*nodes.columns, F.when(good, end).otherwise(0).cast("int").alias("end_page"))
-        done = level if done is None else done.unionByName(level)
-    return nodes.withColumn("end_page", F.lit(0)).limit(0) if done is None else done
+    else the parent's end, else the document's last page; 0 where that is before the start.
+
+    ``last_pages`` holds a document once.  One pass over sorted documents, one
+    in memory at a time, linear in its nodes; a parent's depth is less than its
+    children's.
+    """
+    each = nodes.select("document_id", F.lit(None).cast("int").alias("last"), F.struct(*nodes.columns).alias("node"))
+    lasts = last_pages.select("document_id", F.col("last_page").cast("int").alias("last"), F.lit(None).cast(each.schema["node"].dataType).alias("node"))
+    rows = each.unionByName(lasts).repartition("document_id").sortWithinPartitions("document_id", F.col("node.toc_seq"))
+    schema = "node " + each.schema["node"].dataType.simpleString() + ", end_page int"
+
+    def ends(seqs: list, parents: list, depths: list, starts: list, last: int | None) -> list[int]:
+        after, waiting = [None] * len(seqs), defaultdict(list)
+        for i, (parent, start) in enumerate(zip(parents, starts, strict=True)):
+            if start is None:
+                continue
+            open_ = waiting[parent]  # siblings that no later one has started after, the least start on top
+            while open_ and starts[open_[-1]] < start:
+                after[open_.pop()] = start
+            open_.append(i)
+        end, at = [0] * len(seqs), {}
+        for i in sorted(range(len(seqs)), key=lambda i: (depths[i] is None, depths[i])):
+            up = at.get(parents[i]) if parents[i] is not None else None
+            ceiling = end[up] if up is not None and depths[i] is not None and depths[up] < depths[i] and end[up] > 0 else last
+            fin = ceiling if after[i] is None else after[i] - 1
+            if starts[i] is not None and fin is not None and starts[i] > 0 and fin >= starts[i]:
+                end[i] = fin
+            at[seqs[i]] = i
+        return end
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.RecordBatch) -> pa.RecordBatch:
+            node = t.column("node")
+            seqs, parents, depths, starts = (node.field(c).to_pylist() for c in ("toc_seq", "parent_seq", "depth", "start_page"))
+            out, i = [0] * len(seqs), 0
+            documents, lasts, known = t.column("document_id").to_pylist(), t.column("last").to_pylist(), node.is_valid().to_pylist()
+            while i < len(seqs):
+                j, last, lo = i, None, i
+                while j < len(seqs) and documents[j] == documents[i]:
+                    if not known[j]:  # rows of last pages sort first
+                        last, lo = lasts[j], j + 1
+                    j += 1
+                out[lo:j] = ends(seqs[lo:j], parents[lo:j], depths[lo:j], starts[lo:j], last)
+                i = j
+            return pa.RecordBatch.from_arrays([node, pa.array(out, pa.int32())], ["node", "end_page"]).filter(node.is_valid())
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            documents = b.column("document_id").to_pylist()
+            cut = len(documents)
+            while cut and documents[cut - 1] == documents[-1]:
+                cut -= 1
+            if cut or (held and held[-1].column("document_id")[-1].as_py() != documents[0]):
+                whole = pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()
+                held = []
+                yield from (done(t) for t in whole)
+            held.append(b.slice(cut))
+        if held:
+            yield from (done(t) for t in pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return rows.mapInArrow(walk, schema).select("node.*", "end_page")
