@@ -214,3 +214,14 @@ def table_markdown(rows: Column) -> Column:
 def page_table_markdown(rows: Column) -> Column:
     """Grid of a table found on a page; bars become entities."""
     return _grid(normalised_rows(rows), lambda x: squeeze(F.replace(x, F.lit("|"), F.lit("&#124;"))))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """A double to ``digits`` decimals as SQL engines that work in doubles do it: the scaled value is rounded,
+    halves away from zero.  Spark's ``round`` takes the shortest decimal text for the value, so 0.285 (a little
+    under it) goes up there even where 0.285 * 100 is under 28.5."""
+    scaled = F.abs(c) * F.lit(10.0**digits)
+    part = scaled % F.lit(1.0)
+    whole = scaled - part + F.when(part >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    out = F.signum(c) * whole / F.lit(10.0**digits)
+    return F.when(F.isnan(out) | (F.abs(out) == F.lit(float("inf"))), c).otherwise(out)

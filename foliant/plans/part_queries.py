@@ -84,13 +84,13 @@ def _reply(*parts) -> Column:
 
 
 def _events(spark, sf):
-    return _t(spark, sf, "events").select("event_id", "user_id", "event_type", F.round("value", 2).alias("value"))
+    return _t(spark, sf, "events").select("event_id", "user_id", "event_type", text.rounded(F.col("value"), 2).alias("value"))
 
 
 def selection_replies(spark, sf):
     """Fenced, with a repeat and a confidence beyond 1; plain id lists; prose; nothing."""
     u, e = F.col("user_id"), F.col("event_id")
-    picks = _reply('```json\n{"picks": [{"id": " s', u, '", "confidence": ', F.round(F.col("value") / 50, 3), '}, {"id": "t"}, {"id": "s', u, '", "confidence": 0.1}]}\n```')
+    picks = _reply('```json\n{"picks": [{"id": " s', u, '", "confidence": ', text.rounded(F.col("value") / 50, 3), '}, {"id": "t"}, {"id": "s', u, '", "confidence": 0.1}]}\n```')
     plain = _reply('Sure: {"selected_section_ids": ["a', e, '", " ", "b"]} there.')
     said = F.when(e % 4 == 0, picks).when(e % 4 == 1, plain).when(e % 4 == 2, F.lit("no idea")).otherwise(F.lit(" "))
     read = replies.read_column(replies.selection, "struct<ids: array<string>, confidences: map<string, double>>")
@@ -115,7 +115,7 @@ def page_actions(spark, sf):
     said = (
         F.when(e % 3 == 0, _reply('{"tool": "GET_PAGES", "pages": "', e % 9 + 1, "-", e % 9 + 3, '"}'))
         .when(e % 3 == 1, _reply('{"action": "read", "start_page": "', e % 5 + 2, '", "confidence": "high"}'))
-        .otherwise(_reply('{"tool": "done", "answer": "x', e, '", "confidence": ', F.round(F.col("value") / 100, 3), ', "cited_pages": [[1, ', e % 7 + 1, '], "4", {"start": 2}, "none"]}'))
+        .otherwise(_reply('{"tool": "done", "answer": "x', e, '", "confidence": ', text.rounded(F.col("value") / 100, 3), ', "cited_pages": [[1, ', e % 7 + 1, '], "4", {"start": 2}, "none"]}'))
     )
     read = replies.read_column(replies.page_action, "struct<action: string, start: long, end: long, answer: string, confidence: double, cited: array<array<long>>>")
     out = _events(spark, sf).select("event_id", read(said).alias("r"))
@@ -125,7 +125,7 @@ def page_actions(spark, sf):
 def rerank_replies(spark, sf):
     """Blank ids go, negative scores are 0, large ones stay."""
     e = F.col("event_id")
-    said = F.when(e % 5 == 0, F.lit("[]")).otherwise(_reply('{"ranked": [{"id": "a', e, '", "score": ', F.round(F.col("value") - 50, 2), '}, {"id": " "}, {"id": " b ", "score": "7"}]}'))
+    said = F.when(e % 5 == 0, F.lit("[]")).otherwise(_reply('{"ranked": [{"id": "a', e, '", "score": ', text.rounded(F.col("value") - 50, 2), '}, {"id": " "}, {"id": " b ", "score": "7"}]}'))
     read = replies.read_column(lambda r: None if (v := replies.scores(r)) is None else [{"id": i, "score": s} for i, s, _ in v], "array<struct<id: string, score: double>>")
     return _events(spark, sf).select("event_id", F.explode(read(said)).alias("r")).select("event_id", "r.id", "r.score")
 

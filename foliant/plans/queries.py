@@ -199,7 +199,7 @@ def heading_paths(spark, sf):
 
 def cited_top_k(spark, sf):
     e = _t(spark, sf, "events")
-    r = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("pos"), (F.col("event_id") % 9).cast("int").alias("start"), (F.col("event_id") % 7).cast("int").alias("end"), F.round(F.col("value") % 1, 2).alias("confidence"), F.lit(6).alias("last_page"))
+    r = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("pos"), (F.col("event_id") % 9).cast("int").alias("start"), (F.col("event_id") % 7).cast("int").alias("end"), text.rounded(F.col("value") % 1, 2).alias("confidence"), F.lit(6).alias("last_page"))
     return pages.select_cited(r, ["query_id"], 3)
 
 
@@ -222,7 +222,7 @@ def page_texts(spark, sf):
 
 def _scores(spark, sf):
     e = _t(spark, sf, "events")
-    return e.select((F.col("user_id") % 50).alias("query_id"), F.col("event_id").alias("pos"), F.concat_ws("-", F.col("event_type"), (F.col("user_id") % 7).cast("string")).alias("id"), F.when(F.col("event_id") % 4 > 0, F.round(F.col("value") / 1000, 3)).alias("confidence"))
+    return e.select((F.col("user_id") % 50).alias("query_id"), F.col("event_id").alias("pos"), F.concat_ws("-", F.col("event_type"), (F.col("user_id") % 7).cast("string")).alias("id"), F.when(F.col("event_id") % 4 > 0, text.rounded(F.col("value") / 1000, 3)).alias("confidence"))
 
 
 def union_merge(spark, sf):
