@@ -41,6 +41,7 @@ POOL = 32
 KINDS = {"words": (0.6, 3)}
 RECALL = 0.95
 #: Lines for which keys of that width suffice; for so many times as many they get one minimum more.
+#: The number is a parameter and never counted, so what is found does not depend on the size of the input.
 LINES, TIMES = 8_000_000, 24
 #: The weight of a word of n letters is 2 ** (n - 1), as far as this power.
 WEIGHTS = 6
@@ -161,13 +162,16 @@ def _candidates(signed: DataFrame, scratch: Scratch) -> DataFrame:
         hubs = [F.min("h").alias("lo"), F.max("h").alias("hi"), F.min_by("sketch", "h").alias("lo_sketch"), F.max_by("sketch", "h").alias("hi_sketch")]
         counts = some.groupBy("bucket").count().where(F.col("count") * SAMPLED > HOT)
         counts = scratch.write(counts.select("bucket", (F.col("count") * SAMPLED).alias("n")), f"hot-{r}")
-        may_be_hot = may_hold(counts, "bucket")(F.col("bucket"))
-        hot = scratch.write(some.where(may_be_hot).groupBy("bucket").agg(*hubs).join(counts, "bucket"), f"hubs-{r}")
-        spread = salted(keyed.where(may_be_hot), ["bucket"], "h", hot)
+        rest, spread = keyed, None
+        if counts.take(1):
+            may_be_hot = may_hold(counts, "bucket")(F.col("bucket"))
+            hot = scratch.write(some.where(may_be_hot).groupBy("bucket").agg(*hubs).join(counts, "bucket"), f"hubs-{r}")
+            spread = salted(keyed.where(may_be_hot), ["bucket"], "h", hot)
+            rest = keyed.where(~may_be_hot).unionByName(_without(keyed.where(may_be_hot), hot))
         alike = W.Window.partitionBy("bucket")
-        rest = keyed.where(~may_be_hot).unionByName(_without(keyed.where(may_be_hot), hot))
         rest = rest.select("*", F.count("*").over(alike).alias("n"), F.min("h").over(alike).alias("lo"), F.max("h").over(alike).alias("hi"), F.min_by("sketch", "h").over(alike).alias("lo_sketch"), F.max_by("sketch", "h").over(alike).alias("hi_sketch"))
-        every = rest.where("n > 1").unionByName(spread)
+        every = rest.where("n > 1")
+        every = every if spread is None else every.unionByName(spread)
         for hub in ("lo", "hi"):
             every = every.withColumn(hub, F.when((F.col("h") != F.col(hub)) & (agreeing(F.col("sketch"), F.col(f"{hub}_sketch")) >= AGREEING), F.col(hub)))
         every = every.where("lo is not null or hi is not null or n > 3").select("bucket", "h", "sketch", "n", "lo", "hi")
@@ -252,12 +256,15 @@ def dedup_lines(
     text: str = "text",
     least_words: int = LEAST_WORDS,
     similarity: float = SIMILARITY,
+    expected: int = LINES,
 ) -> DataFrame:
     """Add n_lines, dropped (positions from 0, ascending) and kept_text.
 
     The first occurrence of a group, by key, text fingerprint and position,
     stays.  Lines under ``least_words`` words stay always if they have under
-    ``LEAST_LETTERS`` letters too, and so do blank lines.
+    ``LEAST_LETTERS`` letters too, and so do blank lines.  ``expected`` distinct
+    lines are what keys are made for: with many more, results stay the same and
+    buckets hold more strangers, which costs time.
     Null texts have no lines and a null kept_text; a text whose lines all go
     has an empty one.  Rows that repeat key and text are one document, so they
     are treated alike; null keys come last.  Columns of ``docs`` pass through,
@@ -284,7 +291,7 @@ def dedup_lines(
     weight = F.least(F.lit(WEIGHTS + 1), F.length("word"))
     # Copies of a line have the same minima, so they need not be told apart first.
     words = lines.select("h", F.explode(F.split("norm", " ")).alias("word")).select("h", F.xxhash64("word").alias("g"), weight.alias("weight"))
-    signed = words.groupBy("h").agg(*minima()).select("h", sketch().alias("sketch"), table_keys("words", tables("words", classes.count())).alias("keys"))
+    signed = words.groupBy("h").agg(*minima()).select("h", sketch().alias("sketch"), table_keys("words", tables("words", expected)).alias("keys"))
     signed = scratch.write(signed, "signed")
     met = _candidates(signed, scratch)
     scratch.drop("signed")
