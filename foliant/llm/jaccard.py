@@ -30,7 +30,8 @@ pass are intersected exactly, as sorted arrays.
 Where a key's members are in different components after that, they are
 compared with each other in tiles of two blocks: bitmaps first, then, of
 members that may link, the elements, until a link joins the components; a pair
-needs neighbouring bands.  This makes components exact.
+needs neighbouring bands.  This makes components exact.  Blocks grow with the
+group, so that its rows are not copied the more often the larger it is.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ from .tiles import by_sorted_group
 FLUSH = 1 << 20
 SEEN_AT_MOST = 1 << 20
 #: Members of a hub in one tile, and of a key in one block.
-TILE, BLOCK = 128, 128
+TILE, BLOCK = 128, 1024
+#: Larger groups have larger blocks, not more than so many, until one has so many members or elements.
+BLOCKS, LARGEST, ELEMENTS = 4, 8192, 1 << 22
 #: Counters of the common order, in rows of ``1 << ROW_BITS``; bits of the filter of wanted classes.
 ORDER_BITS, ROW_BITS = 22, 14
 #: Keys of more members are dealt to many tasks.
@@ -475,6 +478,10 @@ def _members(frame: DataFrame, few: DataFrame) -> DataFrame:
     return out.unionByName(salted(frame, ["key"], "cls", large).drop("size")) if large.take(1) else out
 
 
+def _blocks(n: Column, elements: Column) -> Column:
+    return F.greatest(F.least(F.ceil(n / BLOCK), F.lit(BLOCKS)), F.ceil(n / LARGEST), F.ceil(elements / ELEMENTS)).cast("int")
+
+
 def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, limit: Threshold, scratch: Scratch) -> DataFrame | None:
     """Links between members of one key that are in different components so far.
 
@@ -488,20 +495,20 @@ def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, lim
             blobs = [np.frombuffer(v.as_buffer(), np.uint64) for v in b.column("g")]
             bounds = np.concatenate([[0], np.cumsum([len(v) for v in blobs])]).astype(np.int64)
             keys, at = candidate_keys(np.concatenate(blobs) if blobs else np.zeros(0, np.uint64), bounds, ranks, limit)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))], ["cls", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))], ["cls", "n", "keys"])
 
-    keyed = sets.select("cls", "g").mapInArrow(keys_of, "cls long, keys array<long>")
-    keyed = keyed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"), F.explode("keys").alias("key"))
+    keyed = sets.select("cls", "g").mapInArrow(keys_of, "cls long, n long, keys array<long>")
+    keyed = keyed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.explode("keys").alias("key"))
     print_ = F.bit_xor(F.xxhash64("cls")).alias("print")
     keys = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), print_, F.count("*").alias("size")).where("lo <> hi")
     keys = scratch.write(keys.groupBy("print", "size").agg(F.min("key").alias("key")).select("key", "size"), "keys")
     if not keys.take(1):
         return None
     member = scratch.write(_members(keyed, keys), "members")
-    sizes = member.groupBy("key", "comp").count()
-    groups = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    groups = groups.select("key", F.col("all").alias("size"), F.col("main.comp").alias("main"), blocks(F.col("main.count")).alias("mains"), blocks(F.col("all") - F.col("main.count")).alias("others"))
+    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("elements"))
+    groups = sizes.groupBy("key").agg(F.max(F.struct("count", "comp", "elements")).alias("main"), F.sum("count").alias("all"), F.sum("elements").alias("elements"))
+    others = _blocks(F.col("all") - F.col("main.count"), F.col("elements") - F.col("main.elements"))
+    groups = groups.select("key", F.col("all").alias("size"), F.col("main.comp").alias("main"), _blocks(F.col("main.count"), F.col("main.elements")).alias("mains"), others.alias("others"))
     member = _members(member, scratch.write(groups, "groups"))
     is_main = F.col("comp") == F.col("main")
     member = member.withColumn("is_main", is_main).withColumn("block", F.pmod(F.xxhash64("cls"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
@@ -514,7 +521,8 @@ def _across_components(sets: DataFrame, roots: DataFrame, ranks: np.ndarray, lim
     with_main = F.transform(span(F.col("mains")), lambda i: tile("main", block, i))
     with_other = F.transform(span(F.col("others")), lambda i: tile("other", F.least(block, i), F.greatest(block, i)))
     from_main = F.transform(span(F.col("others")), lambda i: tile("main", i, block))
-    tiles = F.when(F.col("is_main"), from_main).otherwise(F.concat(with_main, with_other))
+    # Others of one block meet in each of its tiles already.
+    tiles = F.when(F.col("is_main"), from_main).when(F.col("others") == 1, with_main).otherwise(F.concat(with_main, with_other))
     placed = scratch.write(member.select("cls", "comp", F.explode(tiles).alias("tile")), "tiles")
 
     def candidates(t: pa.Table) -> list[pa.RecordBatch]:

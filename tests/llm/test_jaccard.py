@@ -53,3 +53,44 @@ def test_keys_of_many_components_are_not_copied_for_the_driver(spark, monkeypatc
     monkeypatch.undo()
     monkeypatch.setattr(jaccard, "HOT", 4)
     assert jaccard._members(frame, few).distinct().count() == 2000
+
+
+@pytest.mark.parametrize("block", [1024, 24])
+def test_near_misses_are_not_copied_by_the_size_of_their_group(spark, monkeypatch, block):
+    """Rows in tiles stay within a bound for each member, and components are those of brute force."""
+    rng = np.random.RandomState(11)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(420):
+        words = list(base)
+        for at in rng.choice(100, 3 if i % 7 else 1, replace=False):
+            words[at] = f"x{rng.randint(6)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows, write = {}, jaccard.Scratch.write
+
+    def counted(self, df, name, *more):
+        out = write(self, df, name, *more)
+        rows[name] = out.count() if name in ("members", "tiles") else 0
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "write", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(docs).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(98)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in range(len(sets))}
+    assert rows["tiles"] <= 2 * jaccard.BLOCKS * rows["members"]
+    if block > len(texts):
+        assert rows["tiles"] == rows["members"]
