@@ -109,8 +109,12 @@ class Scratch:
 
 
 def salted(frame: DataFrame, by: list[str], spread: str, few: DataFrame) -> DataFrame:
-    """``frame`` joined with ``few`` on ``by``; rows of one value are dealt to ``SALTS`` tasks by ``spread``, ``few`` is copied."""
-    salts = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``frame`` joined with ``few`` on ``by``; rows of one value are dealt to ``SALTS`` tasks by ``spread``, ``few`` is copied.
+
+    Spark does not reckon with the copies when it decides on a broadcast, which
+    the driver holds; so the join is by a shuffle.
+    """
+    salts = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return frame.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salts, [*by, "salt"]).drop("salt")
 
 

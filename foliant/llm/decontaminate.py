@@ -138,14 +138,14 @@ def contamination(
     bloom = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)  # filled from rows of 4 KB, of which there are 128
     for r in marks.collect():
         bloom[r["w"] * 4096 : r["w"] * 4096 + 4096] = np.frombuffer(r["m"], np.uint8)[:4096]
-    mask = np.unpackbits(bloom, bitorder="little").astype(bool)
 
     def offer(batches):
         for s in slices(batches, "text", SLICE):
             t = Texts(s.column("text"))
             found = []
             for at, v, n in [(*t.winnowed(window, k), window), *((*t.sequences(n), n) for n in short)]:
-                hit = mask[(v & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)]
+                spot = (v & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+                hit = ((bloom[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
                 found.append((at[hit], v[hit], n))
             yield _rows(s.column("doc"), t, found, "doc")
 
