@@ -46,7 +46,7 @@ LINES, TIMES = 8_000_000, 24
 #: The weight of a word of n letters is 2 ** (n - 1), as far as this power.
 WEIGHTS = 6
 #: Tables keyed at once.
-ROUND = 9
+ROUND = 7
 #: Of 32 pairs of bits, those that near lines agree in; unrelated lines of one bucket agree in 12.
 AGREEING = 17
 #: Buckets of more lines, told from one line of ``SAMPLED``, are dealt to many tasks.
@@ -77,16 +77,21 @@ def tables(kind: str, lines: int) -> list[tuple[int, ...]]:
 
     Keys get longer as lines grow, so that buckets do not fill with strangers;
     the chance of meeting stays, because tables are added until a pair at the kind's similarity meets in one of
-    them with ``RECALL``, by a simulation of which minima agree.
+    them with ``RECALL``, by a simulation of which minima agree.  All minima are
+    dealt before one is taken again: tables with minima in common meet in the
+    same pairs, so fewer tables do when they have few.
     """
     at, width = KINDS[kind]
     while lines > LINES:
         width, lines = width + 1, lines // TIMES
     rng = np.random.RandomState(20240611)
     agree = rng.rand(8000, POOL) < at
-    met, picked = np.zeros(len(agree), bool), []
+    met, picked, left = np.zeros(len(agree), bool), [], []
     while met.mean() < RECALL:
-        picked.append(tuple(sorted(rng.choice(POOL, width, replace=False).tolist())))
+        if len(left) < width:
+            left += [i for i in rng.permutation(POOL).tolist() if i not in left]
+        picked.append(tuple(sorted(left[:width])))
+        left = left[width:]
         met |= agree[:, picked[-1]].all(1)
     return picked
 
@@ -125,6 +130,22 @@ def table_keys(kind: str, picked: list[tuple[int, ...]]) -> Column:
     return F.array(*(F.hash(F.lit(f"{kind}{n}"), *(F.col(f"m{i}") for i in p)) for n, p in enumerate(picked)))
 
 
+def extent(norm: Column, far: Column) -> Column:
+    """A line's number of words and, in the last byte, its letters and spaces, as far as one more than ``LONG_LINE``."""
+    words = F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1
+    letters = F.when(far, F.length(spelt(norm))).otherwise(F.length(norm))
+    return F.shiftleft(words.cast("long"), 8).bitwiseOR(F.least(letters, F.lit(LONG_LINE + 1)).cast("long"))
+
+
+def fitting(a: Column, b: Column, similarity: float) -> Column:
+    """Whether lines of two extents may be ``similar``: an edit distance is no less than the difference of lengths."""
+    def near(x: Column, y: Column) -> Column:
+        return F.abs(x - y) <= F.floor(F.greatest(x, y) * (1 - similarity) + 1e-9)
+
+    x, y = a.bitwiseAND(F.lit(255)), b.bitwiseAND(F.lit(255))
+    return F.when(F.greatest(x, y) <= LONG_LINE, near(x, y)).otherwise(near(F.shiftright(a, 8), F.shiftright(b, 8)))
+
+
 def _as_letters(words: Column) -> Column:
     """One letter for each word, for an edit distance in words."""
     code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20000)) + 0x4E00)
@@ -144,8 +165,8 @@ def similar(similarity: float) -> Column:
     return F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), near("x", "y")).otherwise(near("x_words", "y_words"))
 
 
-def _candidates(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, h, sketch, n, lo, hi) of lines in buckets of ``n`` > 1.
+def _candidates(signed: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(bucket, h, sketch, size, n, lo, hi) of lines in buckets of ``n`` > 1.
 
     ``lo`` and ``hi`` are the bucket's hubs, its least and its greatest line,
     where they may be near.  Rows of small buckets without such a hub are left
@@ -153,31 +174,38 @@ def _candidates(signed: DataFrame, scratch: Scratch) -> DataFrame:
     one.  Of very large buckets two lines of a sample are the hubs, so that
     their rows need not meet in one task.
     """
-    n, out = signed.agg(F.max(F.size("keys"))).first()[0] or 0, None
-    for r, first in enumerate(range(0, max(n, 1), ROUND)):
-        keyed = signed.select("h", "sketch", F.posexplode(F.slice("keys", first + 1, ROUND)).alias("table", "key"))
+    any_, out = signed.select(F.size("keys")).head(), None
+    n = any_[0] if any_ else 0
+    sampled = scratch.write(signed.where(F.pmod(F.xxhash64("h"), F.lit(SAMPLED)) == 0), "sampled")
+
+    def by_key(frame: DataFrame, first: int) -> DataFrame:
+        keyed = frame.select("h", "sketch", "size", F.posexplode(F.slice("keys", first + 1, ROUND)).alias("table", "key"))
         number = (F.col("table") + first).cast("long")
-        keyed = keyed.select("h", "sketch", F.shiftleft(number, 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"))
-        some = keyed.where(F.pmod(F.xxhash64("h"), F.lit(SAMPLED)) == 0)
-        hubs = [F.min("h").alias("lo"), F.max("h").alias("hi"), F.min_by("sketch", "h").alias("lo_sketch"), F.max_by("sketch", "h").alias("hi_sketch")]
+        return keyed.select("h", "sketch", "size", F.shiftleft(number, 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"))
+
+    for r, first in enumerate(range(0, max(n, 1), ROUND)):
+        keyed, some = by_key(signed, first), by_key(sampled, first)
+        hubs = {"lo": F.min("h"), "hi": F.max("h")} | {f"{hub}_{c}": by(c, "h") for hub, by in (("lo", F.min_by), ("hi", F.max_by)) for c in ("sketch", "size")}
         counts = some.groupBy("bucket").count().where(F.col("count") * SAMPLED > HOT)
         counts = scratch.write(counts.select("bucket", (F.col("count") * SAMPLED).alias("n")), f"hot-{r}")
         rest, spread = keyed, None
         if counts.take(1):
             may_be_hot = may_hold(counts, "bucket")(F.col("bucket"))
-            hot = scratch.write(some.where(may_be_hot).groupBy("bucket").agg(*hubs).join(counts, "bucket"), f"hubs-{r}")
+            hot = scratch.write(some.where(may_be_hot).groupBy("bucket").agg(*(c.alias(name) for name, c in hubs.items())).join(counts, "bucket"), f"hubs-{r}")
             spread = salted(keyed.where(may_be_hot), ["bucket"], "h", hot)
             rest = keyed.where(~may_be_hot).unionByName(_without(keyed.where(may_be_hot), hot))
         alike = W.Window.partitionBy("bucket")
-        rest = rest.select("*", F.count("*").over(alike).alias("n"), F.min("h").over(alike).alias("lo"), F.max("h").over(alike).alias("hi"), F.min_by("sketch", "h").over(alike).alias("lo_sketch"), F.max_by("sketch", "h").over(alike).alias("hi_sketch"))
+        rest = rest.select("*", F.count("*").over(alike).alias("n"), *(c.over(alike).alias(name) for name, c in hubs.items()))
         every = rest.where("n > 1")
         every = every if spread is None else every.unionByName(spread)
         for hub in ("lo", "hi"):
-            every = every.withColumn(hub, F.when((F.col("h") != F.col(hub)) & (agreeing(F.col("sketch"), F.col(f"{hub}_sketch")) >= AGREEING), F.col(hub)))
-        every = every.where("lo is not null or hi is not null or n > 3").select("bucket", "h", "sketch", "n", "lo", "hi")
+            may_be_near = (agreeing(F.col("sketch"), F.col(f"{hub}_sketch")) >= AGREEING) & fitting(F.col("size"), F.col(f"{hub}_size"), similarity)
+            every = every.withColumn(hub, F.when((F.col("h") != F.col(hub)) & may_be_near, F.col(hub)))
+        every = every.where("lo is not null or hi is not null or n > 3").select("bucket", "h", "sketch", "size", "n", "lo", "hi")
         found = scratch.write(every, f"met-{r}")
         scratch.drop(f"hot-{r}", f"hubs-{r}")
         out = found if out is None else out.unionByName(found)
+    scratch.drop("sampled")
     return out
 
 
@@ -196,13 +224,17 @@ def _said(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     return said.withColumn("x", F.when(F.length("x") <= LONG_LINE, F.col("x")))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratch, label: str) -> DataFrame:
+def _judged(pairs: DataFrame, said: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` that are similar."""
+    other = said.select(F.col("h").alias("b"), F.col("x").alias("y"), F.col("x_words").alias("y_words"))
+    return pairs.join(said.withColumnRenamed("h", "a"), "a").join(other, "b").where(similar(similarity)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratch, label: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are similar, stored."""
     wanted = scratch.write(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), f"wanted-{label}")
     said = scratch.write(_said(wanted, lines), f"said-{label}")
-    other = said.select(F.col("h").alias("b"), F.col("x").alias("y"), F.col("x_words").alias("y_words"))
-    judged = pairs.join(said.withColumnRenamed("h", "a"), "a").join(other, "b")
-    links = scratch.write(judged.where(similar(similarity)).select("a", "b"), f"links-{label}")
+    links = scratch.write(_judged(pairs, said, similarity), f"links-{label}")
     scratch.drop(f"wanted-{label}", f"said-{label}")
     return links
 
@@ -217,16 +249,15 @@ def _across_components(met: DataFrame, roots: DataFrame, lines: DataFrame, simil
     links come out.
     """
     node = roots.select(F.col("node").alias("h"), "root")
-    member = scratch.write(met.where("n > 3").select("bucket", "h", "sketch", "n").join(node, "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root"), "placed")
+    member = scratch.write(met.where("n > 3").select("bucket", "h", "sketch", "size", "n").join(node, "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root"), "placed")
 
     def pairs_of(frame: DataFrame, by: str, *more: str) -> DataFrame:
-        one, two = (frame.select(by, F.col("h").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("comp").alias(f"comp_{side}"), *(F.col(c).alias(c if side == "a" else c.replace("x", "y")) for c in more)) for side in "ab")
+        one, two = (frame.select(by, F.col("h").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("size").alias(f"size_{side}"), F.col("comp").alias(f"comp_{side}"), *(F.col(c).alias(c if side == "a" else c.replace("x", "y")) for c in more)) for side in "ab")
         apart = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (agreeing(F.col("sketch_a"), F.col("sketch_b")) >= AGREEING)
+        apart = apart & fitting(F.col("size_a"), F.col("size_b"), similarity)
         return one.join(two, by).where(apart & similar(similarity) if more else apart).select("a", "b").distinct()
 
     near = scratch.write(pairs_of(member.where(F.col("n") <= BLOCK), "bucket"), "across")
-    links = _verified(near, lines, similarity, scratch, "across")
-    scratch.drop("across")
     large = member.where(F.col("n") > BLOCK)
     sizes = large.groupBy("bucket", "comp").count()
     groups = sizes.groupBy("bucket").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
@@ -234,7 +265,7 @@ def _across_components(met: DataFrame, roots: DataFrame, lines: DataFrame, simil
     groups = scratch.write(groups.select("bucket", F.col("main.comp").alias("main"), blocks(F.col("main.count")).alias("mains"), blocks(F.col("all") - F.col("main.count")).alias("others")), "groups")
     if not groups.take(1):
         scratch.drop("placed", "groups")
-        return links
+        return _verified(near, lines, similarity, scratch, "across")
     large = scratch.write(salted(large, ["bucket"], "h", groups), "large")
     is_main = F.col("comp") == F.col("main")
     dealt = large.withColumn("is_main", is_main).withColumn("block", F.pmod(F.xxhash64("h"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
@@ -243,10 +274,13 @@ def _across_components(met: DataFrame, roots: DataFrame, lines: DataFrame, simil
     with_other = F.transform(span(F.col("others")), lambda i: F.xxhash64("bucket", F.lit("other"), F.least("block", i), F.greatest("block", i)))
     from_main = F.transform(span(F.col("others")), lambda i: F.xxhash64("bucket", F.lit("main"), i, "block"))
     tiles = F.when(F.col("is_main"), from_main).otherwise(F.concat(with_main, with_other))
-    said = scratch.write(_said(scratch.write(large.select("h").distinct(), "wanted-large"), lines), "said-large")
-    placed = dealt.select("h", "sketch", "comp", F.explode(tiles).alias("tile")).join(said, "h")
+    # The lines of both are read at once.
+    wanted = near.select(F.explode(F.array("a", "b")).alias("h")).unionByName(large.select("h")).distinct()
+    said = scratch.write(_said(scratch.write(wanted, "wanted-across"), lines), "said-across")
+    links = scratch.write(_judged(near, said, similarity), "links-across")
+    placed = dealt.select("h", "sketch", "size", "comp", F.explode(tiles).alias("tile")).join(said, "h")
     more = scratch.write(pairs_of(placed, "tile", "x", "x_words"), "links-large")
-    scratch.drop("placed", "groups", "large", "wanted-large", "said-large")
+    scratch.drop("placed", "groups", "large", "across", "wanted-across", "said-across")
     return links.unionByName(more)
 
 
@@ -278,22 +312,24 @@ def dedup_lines(
     body = F.col(text)
     row, print_, gone_ = (unused(docs.columns, c) for c in ("row", "print", "gone"))
     rows = docs.select(*kept, *([body] if text in added else []), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(body).alias("print")).alias(row))
-    source = rows.select(F.col(row).alias("row"), body.alias("t"), F.rlike(body, F.lit(FAR)).alias("far")).where("t is not null")
+    source = rows.select(F.col(row).alias("row"), body.alias("t"), ((F.octet_length(body) > F.length(body)) & F.rlike(body, F.lit(FAR))).alias("far")).where("t is not null")
     lines = source.select("row", "far", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
-    told = lines.select("row", "pos", normalised(F.col("line"), F.col("far")).alias("norm"))
+    told = lines.select("row", "pos", "far", normalised(F.col("line"), F.col("far")).alias("norm"))
     # One projection for both, so that words are worked out once; lines that stay anyway have no fingerprint.
     letters = F.length(F.replace("norm", F.lit(" ")))
-    counts = (letters >= LEAST_LETTERS) | ((letters > 0) & (F.length("norm") - letters + 1 >= least_words))
-    lines = scratch.write(told.select(F.when(counts, F.xxhash64("norm")).alias("h"), "row", "pos", "norm"), "lines").where("h is not null")
+    # No two spaces stand side by side, so of this many bytes (four to a letter at most) half are letters.
+    many = F.octet_length("norm") >= 8 * LEAST_LETTERS
+    counts = many | (letters >= LEAST_LETTERS) | ((letters > 0) & (F.length("norm") - letters + 1 >= least_words))
+    lines = scratch.write(told.select(F.when(counts, F.xxhash64("norm")).alias("h"), "row", "pos", "norm", extent(F.col("norm"), F.col("far")).alias("size")), "lines").where("h is not null")
     classes = lines.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("first"))
     classes = scratch.write(classes, "classes")
 
     weight = F.least(F.lit(WEIGHTS + 1), F.length("word"))
     # Copies of a line have the same minima, so they need not be told apart first.
-    words = lines.select("h", F.explode(F.split("norm", " ")).alias("word")).select("h", F.xxhash64("word").alias("g"), weight.alias("weight"))
-    signed = words.groupBy("h").agg(*minima()).select("h", sketch().alias("sketch"), table_keys("words", tables("words", expected)).alias("keys"))
+    words = lines.select("h", "size", F.explode(F.split("norm", " ")).alias("word")).select("h", "size", F.xxhash64("word").alias("g"), weight.alias("weight"))
+    signed = words.groupBy("h", "size").agg(*minima()).select("h", "size", sketch().alias("sketch"), table_keys("words", tables("words", expected)).alias("keys"))
     signed = scratch.write(signed, "signed")
-    met = _candidates(signed, scratch)
+    met = _candidates(signed, similarity, scratch)
     scratch.drop("signed")
     # The hub of a group of copies is mostly the same in all its buckets, so there are few pairs.
     pairs = met.select("h", F.explode(F.array("lo", "hi")).alias("other")).where("other is not null")
