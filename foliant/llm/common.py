@@ -80,15 +80,15 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
-    """Intermediate tables of one operator call, in the shared folder."""
+    """Intermediate tables of one operator call, in the shared folder; ``level`` is how hard they are compressed."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, level: int = 3):
+        self.spark, self.level = spark, level
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(self.level))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         before = self.spark.conf.get(_CLEAN, "false")

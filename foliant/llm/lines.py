@@ -30,8 +30,10 @@ UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\
 #: Characters from the first of these scripts on.
 FAR = r"[\u0E00-\x{10FFFF}]"
 SIMILARITY = 0.8
-#: Runs of ASCII characters that are in no word of a lower-case line.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that are in no word of a lower-case line, one by one, which Java looks up in a table; of ranges it tries each.
+_NONE = "[" + "".join(f"\\x{c:02X}" for c in (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))) + "]"
+#: Runs of them but single spaces, which stay as they are.
+BETWEEN = f"{_NONE}(?:(?<! )|{_NONE}){_NONE}*"
 #: Lines with more letters are compared word by word.
 LONG_LINE = 120
 #: Minima of each signature; with the other columns it stays within what Spark compiles.
@@ -45,8 +47,12 @@ RECALL = 0.95
 LINES, TIMES = 8_000_000, 24
 #: The weight of a word of n letters is 2 ** (n - 1), as far as this power.
 WEIGHTS = 6
+#: Words of a line that are reckoned with at once: so many fewer rows are grouped.
+ABREAST = 4
 #: Tables keyed at once.
 ROUND = 7
+#: How hard intermediate tables are compressed: the lines take a tenth more than at 3, for a third of the time.
+LEVEL = 1
 #: Of 32 pairs of bits, those that near lines agree in; unrelated lines of one bucket agree in 12.
 AGREEING = 17
 #: Buckets of more lines, told from one line of ``SAMPLED``, are dealt to many tasks.
@@ -97,20 +103,31 @@ def tables(kind: str, lines: int) -> list[tuple[int, ...]]:
 
 
 def minima() -> list[Column]:
-    """The least of ``POOL`` hashes of the words ``g``, made of their one fingerprint.
+    """The least of ``POOL`` hashes of the words ``g0``, ``g1`` and so on, made of their one fingerprint.
 
     A hash is the fingerprint turned by some bits, with some bits flipped, and
-    divided by a power of two that grows with the word (column ``weight``).
+    divided by a power of two that grows with the word (columns ``weight0`` and so on).
     """
     rng = np.random.RandomState(20240612)
     out = []
     for i in range(POOL):
         by, flip = 1 + i * 62 // POOL, int(rng.randint(-(2**63), 2**63, dtype=np.int64))
-        turned = F.shiftleft("g", by).bitwiseOR(F.shiftrightunsigned("g", 64 - by))
-        out.append(F.min(F.call_function("shiftrightunsigned", turned.bitwiseXOR(F.lit(flip)), F.col("weight"))).alias(f"m{i}"))
+        turned = [F.shiftleft(f"g{j}", by).bitwiseOR(F.shiftrightunsigned(f"g{j}", 64 - by)) for j in range(ABREAST)]
+        least = F.least(*(F.call_function("shiftrightunsigned", t.bitwiseXOR(F.lit(flip)), F.col(f"weight{j}")) for j, t in enumerate(turned)))
+        out.append(F.min(least).alias(f"m{i}"))
     return out
 
 
+def abreast(lines: DataFrame) -> DataFrame:
+    """Fingerprints and weights of all words of ``lines(h, size, norm)``, ``ABREAST`` to a row; a last row repeats its first word."""
+    split = lines.select("h", "size", F.split("norm", " ").alias("words"))
+    at = split.select("h", "size", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(ABREAST))).alias("i"))
+    words = at.select("h", "size", *(F.coalesce(F.get("words", F.col("i") + j), F.get("words", F.col("i"))).alias(f"word{j}") for j in range(ABREAST)))
+    prints = (F.xxhash64(f"word{j}").alias(f"g{j}") for j in range(ABREAST))
+    weights = (F.coalesce(F.least(F.lit(WEIGHTS + 1), F.length(f"word{j}")), F.lit(0)).alias(f"weight{j}") for j in range(ABREAST))
+    return words.select("h", "size", *prints, *weights)
+
+
 def sketch() -> Column:
     """Two bits of each of 32 minima."""
     out = F.lit(0).cast("long")
@@ -130,9 +147,13 @@ def table_keys(kind: str, picked: list[tuple[int, ...]]) -> Column:
     return F.array(*(F.hash(F.lit(f"{kind}{n}"), *(F.col(f"m{i}") for i in p)) for n, p in enumerate(picked)))
 
 
+def spaces(norm: Column) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" ")))
+
+
 def extent(norm: Column, far: Column) -> Column:
     """A line's number of words and, in the last byte, its letters and spaces, as far as one more than ``LONG_LINE``."""
-    words = F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1
+    words = spaces(norm) + 1
     letters = F.when(far, F.length(spelt(norm))).otherwise(F.length(norm))
     return F.shiftleft(words.cast("long"), 8).bitwiseOR(F.least(letters, F.lit(LONG_LINE + 1)).cast("long"))
 
@@ -152,15 +173,22 @@ def _as_letters(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
 
-def similar(similarity: float) -> Column:
+def similar(similarity: float, aligned: bool = False) -> Column:
     """Edit similarity 1 - distance / longer length of at least ``similarity``.
 
     Columns x and y hold short lines, x_words and y_words one letter for each
-    word of any line; a pair with a longer line is compared by words.
+    word of any line; a pair with a longer line is compared by words.  The time
+    grows with the distance that is asked for, and most near lines are nearer
+    than they need be, so lesser ones are asked for first.  ``aligned`` first
+    counts the places in which lines of one length differ, which are no fewer
+    than the distance; Spark compiles no join with that, so it is for few pairs.
     """
     def near(a: str, b: str) -> Column:
         most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - similarity) + 1e-9).cast("int")
-        return F.call_function("levenshtein", F.col(a), F.col(b), most) >= 0
+        within = lambda k: F.call_function("levenshtein", F.col(a), F.col(b), k) >= 0
+        any_ = within(F.ceil(most / 5).cast("int")) | within(F.ceil(most / 2).cast("int")) | within(most)
+        differing = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda p, q: p != q), lambda x: x)
+        return ((F.length(a) == F.length(b)) & (F.size(differing) <= most)) | any_ if aligned else any_
 
     return F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), near("x", "y")).otherwise(near("x_words", "y_words"))
 
@@ -195,8 +223,9 @@ def _candidates(signed: DataFrame, similarity: float, scratch: Scratch) -> DataF
             spread = salted(keyed.where(may_be_hot), ["bucket"], "h", hot)
             rest = keyed.where(~may_be_hot).unionByName(_without(keyed.where(may_be_hot), hot))
         alike = W.Window.partitionBy("bucket")
-        rest = rest.select("*", F.count("*").over(alike).alias("n"), *(c.over(alike).alias(name) for name, c in hubs.items()))
-        every = rest.where("n > 1")
+        # Most lines are alone in their bucket, so hubs are looked for after those are gone.
+        rest = rest.select("*", F.count("*").over(alike).alias("n")).where("n > 1")
+        every = rest.select("*", *(c.over(alike).alias(name) for name, c in hubs.items()))
         every = every if spread is None else every.unionByName(spread)
         for hub in ("lo", "hi"):
             may_be_near = (agreeing(F.col("sketch"), F.col(f"{hub}_sketch")) >= AGREEING) & fitting(F.col("size"), F.col(f"{hub}_size"), similarity)
@@ -227,7 +256,7 @@ def _said(wanted: DataFrame, lines: DataFrame) -> DataFrame:
 def _judged(pairs: DataFrame, said: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` that are similar."""
     other = said.select(F.col("h").alias("b"), F.col("x").alias("y"), F.col("x_words").alias("y_words"))
-    return pairs.join(said.withColumnRenamed("h", "a"), "a").join(other, "b").where(similar(similarity)).select("a", "b")
+    return pairs.join(said.withColumnRenamed("h", "a"), "a").join(other, "b").where(similar(similarity, aligned=True)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratch, label: str) -> DataFrame:
@@ -306,7 +335,7 @@ def dedup_lines(
     table gives an empty one.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
+    scratch = Scratch(spark, "lines", LEVEL)
     added = ("n_lines", "dropped", "kept_text")
     kept = [c for c in docs.columns if c not in added]
     body = F.col(text)
@@ -316,18 +345,14 @@ def dedup_lines(
     lines = source.select("row", "far", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
     told = lines.select("row", "pos", "far", normalised(F.col("line"), F.col("far")).alias("norm"))
     # One projection for both, so that words are worked out once; lines that stay anyway have no fingerprint.
-    letters = F.length(F.replace("norm", F.lit(" ")))
+    letters = F.length("norm") - spaces(F.col("norm"))
     # No two spaces stand side by side, so of this many bytes (four to a letter at most) half are letters.
     many = F.octet_length("norm") >= 8 * LEAST_LETTERS
-    counts = many | (letters >= LEAST_LETTERS) | ((letters > 0) & (F.length("norm") - letters + 1 >= least_words))
+    counts = many | (letters >= LEAST_LETTERS) | ((letters > 0) & (spaces(F.col("norm")) + 1 >= least_words))
     lines = scratch.write(told.select(F.when(counts, F.xxhash64("norm")).alias("h"), "row", "pos", "norm", extent(F.col("norm"), F.col("far")).alias("size")), "lines").where("h is not null")
-    classes = lines.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("first"))
-    classes = scratch.write(classes, "classes")
 
-    weight = F.least(F.lit(WEIGHTS + 1), F.length("word"))
     # Copies of a line have the same minima, so they need not be told apart first.
-    words = lines.select("h", "size", F.explode(F.split("norm", " ")).alias("word")).select("h", "size", F.xxhash64("word").alias("g"), weight.alias("weight"))
-    signed = words.groupBy("h", "size").agg(*minima()).select("h", "size", sketch().alias("sketch"), table_keys("words", tables("words", expected)).alias("keys"))
+    signed = abreast(lines).groupBy("h", "size").agg(*minima()).select("h", "size", sketch().alias("sketch"), table_keys("words", tables("words", expected)).alias("keys"))
     signed = scratch.write(signed, "signed")
     met = _candidates(signed, similarity, scratch)
     scratch.drop("signed")
@@ -341,15 +366,18 @@ def dedup_lines(
 
     # Most lines are neither linked nor repeated; those go no further.
     linked = may_hold(roots, "node")
+    copied = may_hold(scratch.write(lines.groupBy("h").count().where("count > 1").select("h"), "copied"), "h")
+    places = scratch.write(lines.where(linked(F.col("h")) | copied(F.col("h"))).select("h", "row", "pos"), "places")
+    classes = scratch.write(places.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("row", "pos")).alias("first")), "classes")
     grouped = classes.where(linked(F.col("h"))).join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "copies", "first")
     firsts = grouped.groupBy("root").agg(F.min("first").alias("stays"), F.sum("copies").alias("total")).where("total > 1")
     alone = classes.where(~linked(F.col("h")) & (F.col("copies") > 1)).select("h", F.col("first").alias("stays"))
     marked = scratch.write(grouped.join(firsts, "root").select("h", "stays").unionByName(alone), "marked")
-    repeated = lines.where(may_hold(marked, "h")(F.col("h"))).select("h", "row", "pos")
+    repeated = places.where(may_hold(marked, "h")(F.col("h")))
     drops = repeated.join(marked, "h").where(F.struct("row", "pos") != F.col("stays")).select("row", "pos")
     drops = drops.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias(gone_)).withColumnRenamed("row", print_)
     drops = scratch.write(drops, "drops")
-    scratch.drop("lines", "classes", "marked", "pairs")
+    scratch.drop("lines", "copied", "places", "classes", "marked", "pairs")
     has_drop = may_hold(drops, print_)
     touched = rows.where(has_drop(F.col(row))).join(drops, F.col(row) == F.col(print_), "left").drop(print_)
     same = rows.where(~has_drop(F.col(row))).withColumn(gone_, F.lit(None).cast("array<int>"))
